@@ -146,8 +146,8 @@ def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY,
         end = np.array([end_id], kind).tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, window)
         for b in rows_of(it):
-            for doc, text in zip(column(b, "doc_id").to_pylist(), texts(b), strict=True):
-                packer.add(doc, np.frombuffer(encoder.encode([text])[0] + end, kind))
+            for doc, ids in zip(column(b, "doc_id").to_pylist(), encoder.encode(texts(b)), strict=True):
+                packer.add(doc, np.frombuffer(ids + end, kind))
             yield packer.taken()
         packer.end()
         yield packer.taken()

@@ -1,22 +1,24 @@
 """Encoding by pieces of text that recur, each encoded once while it is remembered.
 
-A text is cut before a space that follows a non-space character. The pre-tokenizers used here never match across such
-a place and look no further back, so the ids of a text are those of its pieces, one after the other.
+A text is cut before a space that follows a non-space character, and new pieces at the borders of pre-tokens. The
+pre-tokenizers used here never match across such places and look no further back, so the ids of a text are those of
+its pieces, one after the other.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterable
-from itertools import islice
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker; beyond it the older half goes.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: All that Python counts as white space, which covers what the pre-tokenizers count.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
@@ -26,46 +28,148 @@ _BEFORE_SPACE_ASCII = [x for x in _BEFORE_SPACE if x.isascii()]
 
 def pieces(text: str) -> list[str]:
     """The pieces of a text; joined they are the text."""
-    if any(x in text for x in (_BEFORE_SPACE_ASCII if text.isascii() else _BEFORE_SPACE)):
+    if "\0" in text or any(x in text for x in (_BEFORE_SPACE_ASCII if text.isascii() else _BEFORE_SPACE)):
         return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[f" {x}" for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+class _Numbers(dict):
+    """Gives every new key the next number and notes it."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
 
 
 class PieceEncoder:
-    """encode_many: from distinct pieces to their packed ids."""
+    """cut: from a text to pieces; split: from a piece to the pre-tokens that make it up; encode_many: from distinct
+    pre-tokens to packed ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
-        self.encode_many, self.remembered, self.known = encode_many, remembered, {}
+    def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]] = pieces, remembered: int = REMEMBERED):
+        self.split, self.encode_many, self.cut, self.remembered = split, encode_many, cut, remembered
+        self.known, self.packed = _Numbers(), []
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The packed ids of each text."""
-        out = []
-        for text in texts:
-            cut = pieces(text)
-            if new := list(set(cut).difference(self.known)):
-                self.known.update(zip(new, self.encode_many(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, cut)))
-            if len(self.known) > self.remembered:
-                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        number, collected = self.known.__getitem__, gc.isenabled()
+        gc.disable()  # many small lists and no cycles: collecting would walk all that is remembered
+        rows = [list(map(number, self.cut(text))) for text in texts]
+        if self.known.new:
+            self._learn()
+        if collected:
+            gc.enable()
+        out = [b"".join(map(self.packed.__getitem__, row)) for row in rows]
+        if len(self.known) > self.remembered:
+            half = len(self.known) // 2
+            self.known = _Numbers((k, i) for i, k in enumerate(list(self.known)[half:]))
+            self.packed = self.packed[half:]
         return out
 
+    def _learn(self) -> None:
+        number, new, single, made = self.known.__getitem__, self.known.new, [], []
+        at = len(self.packed)
+        for n, piece in enumerate(new, at):  # grows as it goes on
+            parts = self.split(piece)
+            if parts == [piece]:
+                single.append(n)
+            else:
+                made.append((n, list(map(number, parts))))
+        self.packed.extend([b""] * len(new))
+        for n, ids in zip(single, self.encode_many([new[n - at] for n in single]), strict=True):
+            self.packed[n] = ids
+        for n, parts in made:
+            self.packed[n] = b"".join(map(self.packed.__getitem__, parts))
+        self.known.new = []
 
-_encoders: dict[str, tuple[PieceEncoder, np.dtype]] = {}
 
+#: Fixed value: the pre-token pattern of the byte-level vocabularies.
+BYTE_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Fixed value: that of the vocabulary with word ends, on lower-cased text.
+WORD_ENDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
+#: Lower-casing these letters, and composing them, depends on nothing around them.
+_PLAIN = re.compile("[\0-įı-ɏ]*")
+
+
+_MARKS = frozenset(",.;:!?")
 
-def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
-    """The encoder of a tokenizers file, special strings counting as text, and the type of its packed ids; a worker
-    process keeps it from task to task."""
-    if file not in _encoders:
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(file)
-        tokenizer.encode_special_tokens = True
-        kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+def byte_level_parts(piece: str) -> list[str]:
+    """BYTE_LEVEL.findall(piece), quicker for a word and for a word with a mark after it."""
+    if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece]
+    if piece[-1:] in _MARKS and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece[:-1], piece[-1]]
+    return BYTE_LEVEL.findall(piece)
 
-        def encode_many(new: list[str]) -> list[bytes]:
-            return [np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-        _encoders[file] = PieceEncoder(encode_many), kind
+def _word_pieces(text: str) -> list[str]:
+    """Pieces without their spaces, which this kind of vocabulary drops; in lower case where that is safe."""
+    return text.lower().split(" ") if text.isascii() or _PLAIN.fullmatch(text) else _CUT.split(text)
+
+
+def _word_parts(piece: str) -> list[str]:
+    if not piece.isascii() and not _PLAIN.fullmatch(piece):
+        return [piece]
+    bare = piece.lstrip(" ").lower()
+    if bare.isalpha():
+        return [bare]
+    if bare[-1:] in _MARKS and bare[:-1].isalpha():
+        return [bare[:-1], bare[-1]]
+    return WORD_ENDS.findall(bare)
+
+
+_encoders: dict[str, tuple[PieceEncoder, np.dtype]] = {}
+
+
+def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
+    """The encoder of a tokenizers file, special strings counting as text, and the type of its packed ids; a worker
+    process keeps it from task to task. Pre-tokens are known for the two kinds of file described in the tokenizers'
+    README: byte-level, and with word ends; for others it raises ValueError."""
+    if file in _encoders:
+        return _encoders[file]
+    import json
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.encode_special_tokens = True
+    kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+    with open(file, encoding="utf-8") as f:
+        config = json.load(f)
+    ends = config["model"].get("end_of_word_suffix")
+
+    def one_by_one(new: list[str]) -> list[bytes]:
+        return [np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    if ends and WORD_ENDS.pattern in str(config["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")):
+        closing = np.zeros(tokenizer.get_vocab_size(), bool)
+        closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith(ends)]] = True
+
+        def joined(new: list[str]) -> list[bytes]:
+            """All lower-case pre-tokens in one text: each one's last id closes a word."""
+            plain = [k for k, x in enumerate(new) if _PLAIN.fullmatch(x)]
+            out = [b""] * len(new)
+            ids = np.array(tokenizer.encode(" ".join([new[k] for k in plain]), add_special_tokens=False).ids, kind)
+            end = (np.flatnonzero(closing[ids]) + 1) * kind.itemsize if len(ids) else np.zeros(0, np.int64)
+            if len(end) != len(plain):
+                return one_by_one(new)
+            raw, start = ids.tobytes(), 0
+            for k, e in zip(plain, end.tolist(), strict=True):
+                out[k], start = raw[start:e], e
+            other = [k for k, x in enumerate(new) if not _PLAIN.fullmatch(x)]
+            for k, x in zip(other, one_by_one([new[k] for k in other]), strict=True):
+                out[k] = x
+            return out
+
+        encoder = PieceEncoder(_word_parts, joined, _word_pieces)
+    elif not ends and config["normalizer"] is None and config["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        encoder = PieceEncoder(byte_level_parts, one_by_one)
+    else:
+        raise ValueError(f"no rule for the pre-tokens of {file}")
+    _encoders[file] = encoder, kind
     return _encoders[file]
