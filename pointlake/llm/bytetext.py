@@ -15,7 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)[LOWER] * np.uint64(2) + np.uint64(1)
+_EXACT = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _EXACT[LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,16 +38,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[i] the polynomial hash sum of data[:i]; see span_hash()."""
+def prefix_sums(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """S with S[i] the polynomial hash sum of data[:i], A-Z as lower case if `fold`; see span_hash()."""
     power, _ = _power(max(1 << 21, len(data) + 1))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=out[1:])
+    np.cumsum((_FOLDED if fold else _EXACT)[data] * power[: len(data)], out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], lower-cased; equal spans have equal hashes wherever they lie."""
+    """64-bit hashes of data[start:end]; equal spans have equal hashes wherever they lie."""
     _, inverse = _power(len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 

@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm import common
 from pointlake.llm.bytetext import mix
-from pointlake.llm.common import batches, column, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tune
 from pointlake.llm.components import connected_components, forest
+from pointlake.llm.member_filter import MemberFilter
 from pointlake.llm.simhash_bits import votes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -177,27 +177,50 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_tile_links, "a long, b long")
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp) of every row, (fp, component_id) of every fingerprint)."""
+    tune(docs.sparkSession)
+    prints, _ = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct, path = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    member = connected_components(fingerprint_links(distinct.select("fp")))
+    labelled = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    roots = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    class_of, _ = materialise(labelled.join(roots, "component").select("fp", "component_id"), "components")
+    discard(docs.sparkSession, path)
+    return prints, class_of
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     component_id: the smallest id reachable over links between fingerprints RADIUS or fewer bits apart. Null and empty
     texts have fingerprint 0 and link like others; repeated rows come back as often; a null id has the component of its
     fingerprint (null if nothing else is in it). Other columns of docs don't matter."""
-    tune(docs.sparkSession)
-    prints, _ = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes, path = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    member = connected_components(fingerprint_links(classes.select("fp")))
-    labelled = classes.join(member, classes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of, _ = materialise(labelled.join(roots, "component").select("fp", "component_id"), "components")
-    common.discard(docs.sparkSession, path)
+    prints, class_of = classes(docs, id_col, text_col)
     return prints.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; of rows with that id one is kept (the first by text).
-    Rows with a null id are kept only if their component has no other id."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """One row of each component of near_duplicates(), with its columns as they are: that with the smallest id, and of
+    several rows with that id the one with the least text. Components without an id keep one row too.
+
+    Rows whose id is the only one of its component and occurs once, most of them, are passed on without a shuffle."""
+    prints, class_of = classes(docs, id_col, text_col)
+    sizes = prints.join(class_of, "fp").groupBy("component_id").agg(F.count("*").alias("n"))
+    rows = prints.join(class_of, "fp").join(sizes.where("n > 1 or component_id is null").withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left_semi")
+    shared, _ = materialise(rows.where("doc_id is not null").select("doc_id").distinct(), "shared")
+    perhaps = MemberFilter.build(shared, "doc_id").perhaps(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))) | F.col(id_col).isNull()
+    marked = docs.withColumn("__perhaps", perhaps)
+    few = marked.where("__perhaps").select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("long")
+    def again(text: pa.Array) -> pa.Array:
+        return pa.array(fingerprint_arrays(text).view(np.int64))
+
+    judged = few.withColumn("fp", again("text")).join(class_of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A component without any id has its fingerprints' own null group: keep one row for each fingerprint.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    kept = judged.groupBy(group.alias("g")).agg(F.min_by("__row", F.struct(F.col("text").isNotNull(), "text")).alias("__row"))
+    return marked.where("not __perhaps").select(*docs.columns).unionByName(kept.select("__row.*"))

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import mix
-from pointlake.llm.common import batches, column, rows_of, shared_dir, texts, tune
+from pointlake.llm.common import batches, column, range_number, rows_of, shared_dir, texts, tune
 from pointlake.llm.mphf import MinimalPerfectHash
 from pointlake.llm.token_cache import library_encoder
 
@@ -98,8 +98,8 @@ class TokenStore:
     def __init__(self, path: str, kind: np.dtype, bounds: list[int], totals: list[int]):
         self.path, self.kind, self.bounds, self.totals = path, np.dtype(kind), bounds, totals
 
-    def shard(self, id_col: str = "doc_id"):
-        return _shard(self.bounds, id_col)
+    def shard(self, id_col: str = "doc_id") -> Column:
+        return range_number(self.bounds, id_col)
 
     def read(self, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """For each distinct id of keys, a row per stored document with it: doc_id, start (ids of all documents
@@ -146,20 +146,6 @@ class TokenStore:
         return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _shard(bounds: list[int], id_col: str):
-    """The number of the shard of a doc_id: how many bounds it has reached. Null: 0."""
-    if not bounds:
-        return F.lit(0)
-    known = F.array(*[F.lit(int(x)).cast("long") for x in bounds])
-    # width_bucket() has equal widths only; a binary search over at most 16 levels stays an expression.
-    low, high = F.lit(0), F.lit(len(bounds))
-    for _ in range(len(bounds).bit_length()):
-        middle = F.floor((low + high) / 2).cast("int")
-        right = F.coalesce((low < high) & (F.element_at(known, F.least(middle + 1, F.lit(len(bounds)))) <= F.col(id_col)), F.lit(False))
-        low, high = F.when(right, middle + 1).otherwise(low), F.when(right, high).otherwise(middle)
-    return low.cast("int")
-
-
 def write_store(docs: DataFrame, file: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
     """Encode docs and write the store to `path` (by default a new folder in the shared one).
 
@@ -205,7 +191,7 @@ def write_store(docs: DataFrame, file: str, end_id: int = 2, path: str | None =
         for shard, group in groupby(entries, key=lambda x: x[0]):
             yield write(shard, ((k, x) for _, k, x in group))
 
-    encoded = encode_documents(docs, file, end_id, id_col, text_col).withColumn("shard", _shard(bounds, "doc_id"))
+    encoded = encode_documents(docs, file, end_id, id_col, text_col).withColumn("shard", range_number(bounds, "doc_id"))
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     totals = dict(placed.mapInArrow(run, "shard int, tokens long").collect())  # a row per shard
     for shard in set(range(len(bounds) + 1)) - set(totals):
