@@ -1,11 +1,17 @@
 """Language-model scoring by a subword lattice.
 
-A public vocabulary's pieces are the edges of a word's lattice. Each piece has a unigram weight; the forward recursion
-in log space sums over all segmentations of a word, and a document's probability is the product over its words and one
-end. Pieces that start a word ("▁...") and pieces inside one are told apart, so that piece sequences and word
-sequences match and the probabilities of all documents sum to at most one. Single bytes are pieces too, so every word
-has a segmentation. The vocabulary's own scores (ranks) are the weights to begin with; they are then fitted to the
-words of the training rows by expectation maximisation over segmentations.
+The edges of a word's lattice are a public vocabulary's pieces and, from its start to its end, the word itself if
+training rows have it. Each edge has a unigram weight; the forward recursion in log space sums over all segmentations
+of a word, and a document's probability is the product over its words and one end. Pieces that start a word ("▁...")
+and pieces inside one are told apart, so that piece sequences and word sequences match and the probabilities of all
+documents sum to at most one. Single bytes are pieces too, so every word has a segmentation. The vocabulary's own
+scores (ranks) are the pieces' weights to begin with; as pieces stand for words that are rare or new, they are fitted
+by expectation maximisation to the distinct words of training rows. A whole word's weight is its count less a
+discount, and what is discounted in all is the weight of going by pieces.
+
+Corpora mix languages and kinds of text. Documents fall in CLASSES classes, found without labels by their frequent
+words; each class has its own discounted counts above those of all, and a document's probability is the sum over the
+classes, each with its share of training rows.
 
 Counts follow the corpus: words of all documents are counted in one shuffle, the lattice runs once per distinct word,
 and documents get their words' values from a bounded table of the most frequent words or else through a second shuffle.
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.bytetext import mix, prefix_sums, span_hash, words
+from pointlake.llm.bytetext import Words, prefix_sums, span_hash, words
 from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tune
 
 #: Words whose values documents look up in place: a table of this many rows of 24 bytes goes to every task.
@@ -31,6 +37,8 @@ ROUNDS = 2
 #: Added to every piece's expected count.
 FLOOR = 0.01
 SMOOTH = 0.1
+#: Classes of documents, and the documents and words (at most) that tell them apart.
+CLASSES, CLASS_DOCS, CLASS_WORDS = 6, 2048, 1000
 _WIDTHS = np.array([4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256])
 
 
@@ -71,8 +79,8 @@ class Slots:
 
 @dataclass
 class Pieces:
-    """Pieces by number: those inside a word first, then those that start one, then the bare start and the end.
-    weight: their first probabilities."""
+    """Pieces by number: those inside a word first, then those that start one, then the bare start. weight: their
+    first probabilities."""
 
     inner: list[bytes]
     initial: list[bytes]
@@ -82,10 +90,6 @@ class Pieces:
     def bare(self) -> int:
         return len(self.inner) + len(self.initial)
 
-    @property
-    def end(self) -> int:
-        return self.bare + 1
-
 
 def read_pieces(file: str) -> Pieces:
     """The pieces of a sentencepiece file that lower-cased words can hold. A score is a merge rank with a minus sign;
@@ -106,7 +110,7 @@ def read_pieces(file: str) -> Pieces:
             initial[piece[1:].encode()] = weight
         else:
             inner[piece.encode()] = inner.get(piece.encode(), 0.0) + weight
-    weight = np.array([*inner.values(), *initial.values(), bare, 1e-3])
+    weight = np.array([*inner.values(), *initial.values(), bare])
     return Pieces(list(inner), list(initial), weight / weight.sum())
 
 
@@ -186,9 +190,72 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, word, c): every distinct word of docs (doc_id, text, held_out) with its count in rows not held out."""
-    schema = pa.schema([("h", pa.int64()), ("word", pa.string()), ("c", pa.int64())])
+@dataclass
+class Classes:
+    """Words by hash with their log probability in each class, and the log share of each class."""
+
+    words: np.ndarray
+    log_word: np.ndarray
+    log_share: np.ndarray
+
+    def of(self, w: Words) -> np.ndarray:
+        """The likeliest class of each document, by the words that tell classes apart; of equal ones the first."""
+        n = len(w.count)
+        score = np.tile(self.log_share[:, None], (1, n))
+        if len(self.words):
+            if not hasattr(self, "slots"):
+                self.slots = Slots(self.words)
+            at = self.slots.find(w.hash)
+            some = np.flatnonzero(at >= 0)
+            for k in range(len(score)):
+                score[k] += np.bincount(w.doc[some], self.log_word[k][at[some]], n)
+        return score.argmax(axis=0)
+
+
+def find_classes(docs: DataFrame, number: int = CLASSES, most: int = CLASS_DOCS, top: int = CLASS_WORDS) -> Classes:
+    """Classes of at most `most` rows not held out (those with the least hash of their id) by spherical k-means over
+    the frequencies of their `top` most widespread words; the centres to begin with are far from each other."""
+    schema = pa.schema([("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(it):
+            for _, _, data, offsets in text_blocks(column(b, "text")):
+                w = words(data, offsets)
+                parts = [np.unique(x, return_counts=True) for x in np.split(w.hash, np.cumsum(w.count)[:-1])]
+                yield batches({"h": [x.view(np.int64) for x, _ in parts], "n": [n for _, n in parts]}, schema)
+
+    learnt = docs.where("not held_out and doc_id is not null")
+    ids = learnt.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = learnt.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = [(np.array(r.h, np.int64).view(np.uint64), np.array(r.n, np.float64)) for r in chosen.mapInArrow(run, "h array<long>, n array<long>").collect()]
+    rows.sort(key=lambda r: (len(r[0]), r[0].tobytes()))
+    if not rows or not sum(len(h) for h, _ in rows):
+        return Classes(np.zeros(0, np.uint64), np.zeros((number, 0)), np.full(number, -np.log(number)))
+    names, spread = np.unique(np.concatenate([h for h, _ in rows]), return_counts=True)
+    names = names[np.argsort(-spread, kind="stable")[:top]]
+    slots, x = Slots(names), np.zeros((len(rows), len(names)))
+    for k, (h, n) in enumerate(rows):
+        at = slots.find(h)
+        x[k, at[at >= 0]] = n[at >= 0]
+    root = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
+    centre = [root.mean(0)]
+    for _ in range(number):
+        centre.append(root[np.min([((root - c) ** 2).sum(1) for c in centre[1:] or centre], axis=0).argmax()])
+    centre = np.stack(centre[1:])
+    for _ in range(20):
+        label = (root @ centre.T).argmax(1)
+        centre = np.stack([root[label == k].sum(0) if (label == k).any() else centre[k] for k in range(number)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    total = np.stack([x[label == k].sum(0) for k in range(number)]) + 0.1 * (x.sum(0) + 1) / (x.sum() + len(names))
+    share = np.bincount(label, minlength=number) + 1.0
+    return Classes(names, np.log(total / total.sum(1, keepdims=True)), np.log(share / share.sum()))
+
+
+def count_words(docs: DataFrame, classes: Classes) -> DataFrame:
+    """(h, word, c0, c1, ...): every distinct word of docs (doc_id, text, held_out) with its count in rows of each class
+    not held out."""
+    number = len(classes.log_share)
+    schema = pa.schema([("h", pa.int64()), ("word", pa.string()), *[(f"c{k}", pa.int64()) for k in range(number)]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
@@ -197,47 +264,48 @@ def count_words(docs: DataFrame) -> DataFrame:
                 w = words(data, offsets)
                 if not len(w.hash):
                     continue
+                kind = np.where(learnt[low:high], classes.of(w), number)
                 keys, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
-                count = np.bincount(at, learnt[low:high][w.doc], len(keys)).astype(np.int64)
+                count = np.bincount(at * (number + 1) + kind[w.doc], minlength=len(keys) * (number + 1)).reshape(len(keys), -1)
                 raw = data.tobytes()
                 spelt = [raw[s:e].lower() for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
                 out = pa.array(spelt, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), out, pa.array(count)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), out, *[pa.array(count[:, k]) for k in range(number)]], schema=schema)
 
-    return docs.mapInArrow(run, "h long, word string, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
+    kinds = ", ".join(f"c{k} long" for k in range(number))
+    return docs.mapInArrow(run, f"h long, word string, {kinds}").groupBy("h", "word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(number)])
 
 
-def _word_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _word_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lengths) of a batch of words."""
     for _, _, data, offsets in text_blocks(column(batch, "word"), 1 << 40):
-        return data, offsets[:-1], np.diff(offsets), column(batch, "c").to_numpy()
-    return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return data, offsets[:-1], np.diff(offsets)
+    return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 def expected_pieces(counted: DataFrame, lattice: Lattice) -> np.ndarray:
-    """Expected number of each piece in the training words: summed by task, then by piece."""
+    """Expected number of each piece in the distinct training words: summed by task, then by piece."""
     schema = pa.schema([("piece", pa.int32()), ("e", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.log_weight))
         for b in rows_of(it):
-            data, start, length, count = _word_arrays(b)
-            total += lattice.run(data, start, length, count.astype(np.float64))[1]
+            data, start, length = _word_arrays(b)
+            total += lattice.run(data, start, length, np.ones(len(start)))[1]
         some = np.flatnonzero(total)
         yield batches({"piece": some.astype(np.int32), "e": total[some]}, schema)
 
     out = np.zeros(len(lattice.log_weight))
-    for r in counted.where("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect():
+    for r in counted.where("c > 0").select("word").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect():
         out[r.piece] = r.e  # a row a piece of the vocabulary
     return out
 
 
-def fit(counted: DataFrame, ends: int, pieces: Pieces, rounds: int = ROUNDS) -> Lattice:
-    """The vocabulary's weights fitted to counted training words and `ends` document ends."""
+def fit(counted: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Lattice:
+    """The vocabulary's weights fitted to the distinct training words."""
     lattice = Lattice(pieces, np.log(pieces.weight))
     for _ in range(rounds):
-        expected = expected_pieces(counted, lattice)
-        expected[pieces.end] = ends
-        expected += FLOOR
+        expected = expected_pieces(counted, lattice) + FLOOR
         lattice = Lattice(pieces, np.log(expected / expected.sum()))
     return lattice
 
@@ -253,26 +321,44 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out())
-    counted, counted_path = materialise(count_words(rows), "words")
+    classes = find_classes(rows)
+    each = range(len(classes.log_share))
+    counted, counted_path = materialise(count_words(rows, classes).withColumn("c", sum((F.col(f"c{k}") for k in each[1:]), F.col("c0"))), "words")
     ends = rows.where(~F.col("held_out")).count()
-    tokens, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    number = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
+    facts = counted.agg(number(F.col("c")), number(F.col("c") > 0), number(F.col("c") == 1), number(F.col("c") == 2), *[number(F.col(f"c{k}")) for k in each], *[number(F.col(f"c{k}") > 0) for k in each]).first()
+    tokens, kinds, once, twice = facts[:4]
+    class_tokens, class_kinds = np.array(facts[4 : 4 + len(each)], float), np.array(facts[4 + len(each) :], float)
     total, distinct = tokens + ends, kinds + (ends > 0)
-    lattice = fit(counted, ends, read_pieces(file), rounds)
-    value_schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lp", pa.float64())])
+    lattice = fit(counted, read_pieces(file), rounds)
+    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    # By pieces and as whole words, above both by classes: shares that add up to one; a document's end is a token too.
+    by_pieces = discount * kinds / tokens if tokens else 1.0
+    by_all = np.where(class_tokens > 0, discount * class_kinds / np.maximum(class_tokens, 1), 1.0)
+    end_share = ends / total if tokens else 0.001
+    value_schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), *[(f"lp{k}", pa.float64()) for k in each]])
 
     def values(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
-            data, start, length, count = _word_arrays(b)
-            yield batches({"h": column(b, "h"), "c": count, "lp": lattice.run(data, start, length)[0] / np.log(10.0)}, value_schema)
-
-    valued, _ = materialise(counted.mapInArrow(values, "h long, c long, lp double"), "values")
+            data, start, length = _word_arrays(b)
+            count = column(b, "c").to_numpy()
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(count - discount, 0.0) / max(tokens, 1))
+                lp = np.logaddexp(whole, lattice.run(data, start, length)[0] + np.log(by_pieces))
+                own = [np.log(np.maximum(column(b, f"c{k}").to_numpy() - discount, 0.0) / max(class_tokens[k], 1)) for k in each]
+            out = {f"lp{k}": (np.logaddexp(own[k], lp + np.log(by_all[k])) + np.log1p(-end_share)) / np.log(10.0) for k in each}
+            yield batches({"h": column(b, "h"), "c": count, **out}, value_schema)
+
+    lps = [f"lp{k}" for k in each]
+    lp_kinds = ", ".join(f"{k} double" for k in lps)
+    valued, _ = materialise(counted.mapInArrow(values, f"h long, c long, {lp_kinds}"), "values")
     discard(spark, counted_path)
     head = valued.orderBy(F.desc("c"), "h").limit(head_words).toPandas()
-    head_h, head_c, head_lp = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["lp"].to_numpy(np.float64)
-    head_log = np.log10(head_c + SMOOTH)
+    head_h, head_c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    head_values = [(head_c > 0).astype(np.float64), np.log10(head_c + SMOOTH), *[head[k].to_numpy(np.float64) for k in lps]]
 
     # One row a document with what its frequent words add up to (h null), and one for each other word with its number.
-    part_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("lp", pa.float64()), ("doc_id", pa.int64())])
+    part_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), *[(k, pa.float64()) for k in lps], ("doc_id", pa.int64())])
     slots: list[Slots] = []
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,29 +371,30 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
                 at = slots[0].find(w.hash)
                 inside, tail = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
                 d, j = w.doc[inside], at[inside]
-                sums = [np.bincount(d, x[j], n) for x in (head_c > 0, head_log, head_lp)] if len(head_h) else [np.zeros(n)] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), r.slice(low, n), pa.array(w.count.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), doc_id.slice(low, n)], schema=part_schema
-                )
+                sums = [np.bincount(d, x[j], n) if len(j) else np.zeros(n) for x in head_values]
+                own = [pa.nulls(n, pa.int64()), r.slice(low, n), pa.array(w.count.astype(np.int64)), pa.array(sums[0].astype(np.int64)), *[pa.array(x) for x in sums[1:]], doc_id.slice(low, n)]
+                yield pa.RecordBatch.from_arrays(own, schema=part_schema)
                 if len(tail):
                     doc, h = w.doc[tail], w.hash[tail]
                     order = np.lexsort((h, doc))
                     doc, h = doc[order], h[order]
                     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
                     number = np.diff(np.append(first, len(h)))
-                    nothing = len(first)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[first].view(np.int64)), r.slice(low, n).take(pa.array(doc[first])), pa.array(number.astype(np.int64)), pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.float64()), pa.nulls(nothing, pa.float64()), pa.nulls(nothing, pa.int64())], schema=part_schema
-                    )
+                    rest = [pa.nulls(len(first), f.type) for f in list(part_schema)[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), r.slice(low, n).take(pa.array(doc[first])), pa.array(number.astype(np.int64)), *rest], schema=part_schema)
 
-    both, both_path = materialise(rows.select(F.xxhash64("doc_id", "text").alias("r"), "doc_id", "text").mapInArrow(parts, "h long, r long, n long, known long, logs double, lp double, doc_id long"), "parts")
-    own = both.where("h is null").select("r", F.lit(1).alias("copies"), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).alias("known"), (F.col("logs") + F.lit(float(np.log10(ends + SMOOTH)))).alias("logs"), (F.col("lp") + F.lit(float(lattice.log_weight[lattice.pieces.end] / np.log(10.0)))).alias("lp"), "doc_id")
+    both, _ = materialise(rows.select(F.xxhash64("doc_id", "text").alias("r"), "doc_id", "text").mapInArrow(parts, f"h long, r long, n long, known long, logs double, {lp_kinds}, doc_id long"), "parts")
+    own = both.where("h is null").select("r", F.lit(1).alias("copies"), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).alias("known"), (F.col("logs") + F.lit(float(np.log10(ends + SMOOTH)))).alias("logs"), *lps, "doc_id")
     rare = both.where("h is not null").select("h", "r", "n").join(valued, "h").select(
-        "r", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("logs"), (F.col("n") * F.col("lp")).alias("lp"), F.lit(None).cast("long").alias("doc_id")
+        "r", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("logs"), *[(F.col("n") * F.col(k)).alias(k) for k in lps], F.lit(None).cast("long").alias("doc_id")
     )
-    summed = own.unionByName(rare).groupBy("r").agg(*[F.sum(k).alias(k) for k in ("copies", "n_tokens", "known", "logs", "lp")], F.max("doc_id").alias("doc_id"))
+    summed = own.unionByName(rare).groupBy("r").agg(*[F.sum(k).alias(k) for k in ("copies", "n_tokens", "known", "logs", *lps)], F.max("doc_id").alias("doc_id"))
     scale = float(np.log10(total + SMOOTH * (distinct + 1)))
     one = lambda k: F.col(k) / F.col("copies")
+    log10_share = classes.log_share / np.log(10.0)
+    of_class = [one(k) + F.lit(float(share)) for k, share in zip(lps, log10_share, strict=True)]
+    best = F.greatest(*of_class)
+    marginal = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in of_class[1:]), F.pow(F.lit(10.0), of_class[0] - best)))
     result = summed.select(
         "doc_id",
         held_out().alias("held_out"),
@@ -315,7 +402,7 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
         one("known").cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (one("logs") - one("n_tokens") * F.lit(scale)).alias("base_score"),
-        one("lp").alias("score"),
+        (marginal + F.lit(float(np.log10(end_share)))).alias("score"),
         "copies",
     )
     return result.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")

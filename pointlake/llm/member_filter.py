@@ -7,8 +7,10 @@ are; beyond some 10 million keys it spares less and less, and results stay the s
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 BITS = 1 << 25
 
@@ -21,7 +23,8 @@ class MemberFilter:
     def build(cls, keys: DataFrame, key: str, bits: int = BITS) -> MemberFilter:
         """keys: long values of a column, null ones left out."""
         at = F.pmod(F.xxhash64(key), F.lit(bits))
-        rows = keys.where(F.col(key).isNotNull()).groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("b"))
+        placed = keys.where(F.col(key).isNotNull()).select(F.shiftright(at, 6).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("k"))
+        rows = placed.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("b"))
         got = rows.toPandas()  # a row for each word of the bitmap at most
         out = np.zeros(bits // 64, np.uint64)
         out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
@@ -29,9 +32,6 @@ class MemberFilter:
 
     def perhaps(self, key: Column) -> Column:
         """An expression: false where the key is surely not among the keys."""
-        import pyarrow as pa
-        from pyspark.sql.functions import arrow_udf
-
         bits = self.bits
 
         @arrow_udf("boolean")

@@ -96,6 +96,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed, _ = materialise(valid.withColumn("node", F.xxhash64("v")), "vectors")
     classes, _ = materialise(keyed.groupBy("node", "v").agg(F.count("*").alias("m"), F.min("vec_id").alias("least")), "classes")
     number = classes.count()
+    if not number:
+        return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
     pivots = max(1, min(PIVOTS, -(-number // pivot_rows)))
     chosen = [np.frombuffer(r.v, kind).astype(np.float64) for r in classes.orderBy(F.xxhash64("node"), "node").limit(pivots).select("v").collect()]
     chosen = [p / np.linalg.norm(p) for p in chosen]
@@ -161,7 +163,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         mine = table["mine"].to_numpy()
         node, m = table["node"].to_numpy(), table["m"].to_numpy()
         v = _unpack(table["v"], kind)
-        left, right, root = tile_links(v[mine], v[~mine], m[mine], m[~mine], same, cosine)
+        left, right, root = tile_links(v[mine], v[~mine], m[mine], m[mine] if same else m[~mine], same, cosine)
         if same:
             nodes, links = node[mine], left + right
             root = root[: len(nodes)]

@@ -158,7 +158,7 @@ def write_store(docs: DataFrame, file: str, end_id: int = 2, path: str | None =
     kind = library_encoder(file)[1]
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     rows = keys.count()
-    shards = max(1, min(rows // 64, int(spark.conf.get("spark.sql.shuffle.partitions"))), rows // SHARD_ROWS)
+    shards = max(1, min(rows // 32, int(spark.conf.get("spark.sql.shuffle.partitions"))), rows // SHARD_ROWS)
     found = keys.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
     bounds = sorted({int(x) for x in found})
     store, folder = _folder(path)
