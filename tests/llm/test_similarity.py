@@ -42,7 +42,7 @@ def planted(seed=2):
     edited = list(passage)
     edited[35] = "edited"
     head = text(25)
-    rows.append((30, "  ".join(head + edited + text(25)).upper()))
+    rows.append((30, "".join(c.upper() if c.isascii() else c for c in "  ".join(head + edited + text(25)))))
     repeats[30] = len(head), 70
     whole = text(120)
     rows += [(40, " ".join(whole)), (41, "\n".join(whole))]
