@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def rigid(source: np.ndarray, target: np.ndarray, weight: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +39,6 @@ def piece_transforms(pairs: DataFrame, piece: str = "piece", scales: tuple[float
     inner = "piece string, scale double"
 
     def own_scale(pdf):
-        import pandas as pd
-
         s, t = pdf[["x", "z"]].to_numpy(float), pdf[["tx", "tz"]].to_numpy(float)
         span = np.linalg.norm(t.max(0) - t.min(0))
         found = similarity_scale(s, t) if len(s) > 1 and span >= least_span else None
@@ -51,8 +51,6 @@ def piece_transforms(pairs: DataFrame, piece: str = "piece", scales: tuple[float
     chosen = own.crossJoin(F.broadcast(usual)).select("piece", F.coalesce("scale", "usual").alias("scale"))  # one row
 
     def solve(pdf):
-        import pandas as pd
-
         s, t = pdf[["x", "y", "z"]].to_numpy(float), pdf[["tx", "ty", "tz"]].to_numpy(float)
         scale = float(pdf["scale"].iloc[0])
         w = pdf["weight"].to_numpy(float) if "weight" in pdf else np.ones(len(s))
@@ -66,9 +64,6 @@ def piece_transforms(pairs: DataFrame, piece: str = "piece", scales: tuple[float
 def normals(neighbours: DataFrame, key: Sequence[str], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """The normal of each point from its neighbours' spread: the direction they vary least in. Sums are aggregated in
     part; only 3 x 3 matrices reach Python."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     pairs = [(a, b) for i, a in enumerate(coords) for b in coords[i:]]
     moments = neighbours.groupBy(*key).agg(*[F.covar_pop(f"{a}_r", f"{b}_r").alias(f"m{k}") for k, (a, b) in enumerate(pairs)], F.count("*").alias("n"))
 
@@ -108,8 +103,6 @@ def bounded_shifts(steps: DataFrame, most: float = 0.4, stay: float = 1.0) -> Da
     scene) run in parallel."""
 
     def solve(pdf):
-        import pandas as pd
-
         names = sorted(set(pdf.piece_a) | set(pdf.piece_b))
         at = {n: k for k, n in enumerate(names)}
         a, b = pdf.piece_a.map(at).to_numpy(), pdf.piece_b.map(at).to_numpy()

@@ -62,7 +62,7 @@ def lane_marks(stretches: DataFrame, ident: str, lanes: str = "lanes", dash: flo
     """Dashes between the lanes of straight stretches: a row each, by its two ends."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     long = F.hypot(dx, dy)
-    marked = stretches.where((F.col(lanes) > 1) & (long >= dash)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col(lanes).cast("int") - 1))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((long - dash) / (dash + space)))) * (dash + space))
+    marked = stretches.where((F.col(lanes) > 1) & (long >= dash)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col(lanes).cast("int") - 1))).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((long - dash) / (dash + space))))).withColumn("at", F.col("n") * (dash + space))
     off = (F.col("k") / F.col(lanes) - 0.5) * F.col("width")
     end = lambda t, c: (F.col("x0") + dx / long * t - dy / long * off) if c == "x" else (F.col("y0") + dy / long * t + dx / long * off)
     return marked.select(ident, "k", *[end(F.col("at") + (dash if e else 0.0), c).alias(f"{c}{e}") for e in (0, 1) for c in "xy"])

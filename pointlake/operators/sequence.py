@@ -91,7 +91,7 @@ def resample(points: DataFrame, by: Sequence[str], order: Sequence[str], coords:
     for c in coords:
         sides = sides.withColumn(f"__{c}", F.lead(c).over(w))
     first, last = F.ceil(F.col("along") / F.lit(step)), F.ceil(F.col("__next") / F.lit(step)) - 1
-    inner = sides.where("__next > along").withColumn("at", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))) * F.lit(step))
+    inner = sides.where("__next > along").withColumn("__k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).withColumn("at", F.col("__k") * F.lit(step))
     share = (F.col("at") - F.col("along")) / (F.col("__next") - F.col("along"))
     made = inner.select(*by, "at", *[(F.col(c) + (F.col(f"__{c}") - F.col(c)) * share).alias(c) for c in coords])
     ends = sides.where(F.col("__next").isNull()).select(*by, F.col("along").alias("at"), *coords)

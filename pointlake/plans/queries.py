@@ -188,7 +188,7 @@ def summary(t):
     return rounded(rounded(cells.summary(t.customer, ["c_mktsegment"], "c_acctbal"), "middle"), "total", places=2)
 
 
-_JUNCTIONS = """WITH w AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS nodes FROM lineitem GROUP BY 1), a AS (SELECT nodes, unnest(range(1, len(nodes) + 1)) AS k FROM w)
+_JUNCTIONS = """WITH w AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS nodes FROM lineitem GROUP BY 1), a AS (SELECT nodes, unnest(range(1, len(nodes) + 1)) AS k FROM w)
 SELECT nodes[k] AS node, CAST(sum(CASE WHEN k = 1 OR k = len(nodes) THEN 1 ELSE 2 END) AS BIGINT) AS arms FROM a GROUP BY 1 HAVING sum(CASE WHEN k = 1 OR k = len(nodes) THEN 1 ELSE 2 END) > 2"""
 
 
@@ -413,7 +413,7 @@ def interp_lookup(t):
     start = line.groupBy("user_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     rows = line.join(start, "user_id").withColumn("t", F.col("t") - F.col("t0"))
     last = (F.ceil((F.col("t1") - F.col("t0")) / 12.0) - 1).cast("long")
-    places = start.where("t1 > t0").select("user_id", (F.explode(F.sequence(F.lit(0).cast("long"), last)) * 12.0).alias("at"))
+    places = start.where("t1 > t0").select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).select("user_id", (F.col("k") * 12.0).alias("at"))
     first_of = rows.groupBy("user_id", "t").agg(F.max_by("v", "event_id").alias("v"))
     return rounded(sequence.interpolate(places, first_of, ["user_id"], "at", "t", "v"), "at", "v", places=4)
 
@@ -573,7 +573,7 @@ def depth_buffer(t):
 
 
 
-@query("WITH RECURSIVE links AS (SELECT DISTINCT c_custkey AS a, c_custkey * 7 % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT a AS s, b AS t FROM links UNION SELECT b, a FROM links), walk(node, reach) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT walk.node, e.t FROM walk JOIN e ON e.s = walk.reach) SELECT node, min(reach) AS component FROM walk WHERE reach > 0 GROUP BY 1")
+@query("WITH RECURSIVE links AS (SELECT DISTINCT c_custkey AS a, c_custkey * 7 % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT a AS s, b AS t FROM links UNION SELECT b, a FROM links), walk(node, reach) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT walk.node, e.t FROM walk JOIN e ON e.s = walk.reach) SELECT node, min(reach) AS component FROM walk GROUP BY 1")
 def components(t):
     most = t.customer.agg(F.max("c_custkey")).first()[0] + 1
     edges = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % most).alias("b"))
@@ -628,9 +628,9 @@ def union_rebased(t):
     return ranking.union_rebased([t.region.select(F.col("r_regionkey").cast("long").alias("idx"), F.col("r_name").alias("name")), t.nation.select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("name"))], "idx")
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def except_uncovered(t):
-    return ranking.uncovered(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), ["k"])
+    return ranking.uncovered(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("k")), ["k"])
 
 
 @query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS idx FROM lineitem")
