@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from pointlake.llm.common import batches, column, materialise, rows_of, tune
+from pointlake.llm.common import batches, column, least_hashed, materialise, rows_of, tune
 from pointlake.llm.components import connected_components, forest
 
 COSINE = 0.9
@@ -99,7 +99,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not number:
         return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
     pivots = max(1, min(PIVOTS, -(-number // pivot_rows)))
-    chosen = [np.frombuffer(r.v, kind).astype(np.float64) for r in classes.orderBy(F.xxhash64("node"), "node").limit(pivots).select("v").collect()]
+    chosen = [np.frombuffer(r.v, kind).astype(np.float64) for r in least_hashed(classes, "node", pivots).select("v").collect()]
     chosen = [p / np.linalg.norm(p) for p in chosen]
     angle = float(np.arccos(cosine))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import words
-from pointlake.llm.common import batches, column, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, least_hashed, materialise, rows_of, text_blocks, tune
 
 #: Labelled rows that the rules are fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 8192
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left out; several labels of an id count with their mean, rounded; of several texts of an id one counts."""
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = named.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.round(F.avg(label_col)).alias("y"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample, _ = materialise(least_hashed(one, "doc_id", rows), "sample")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     found = statistics(chosen).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"))
     got = found.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("y", "x.*").toPandas()

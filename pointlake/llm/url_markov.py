@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import prefix_sums, span_hash
-from pointlake.llm.common import tune
+from pointlake.llm.common import least_hashed, tune
 
 ORDER = 5
 #: URLs that the models are fitted on, at most; this bounds the models too.
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, url: str = "url", verdict: str = "verdict", urls: i
     """Fit on at most `urls` distinct URLs with a verdict allow or block, those with the least hash; every fifth is set
     aside to calibrate. Without such URLs every score is 0 and passes."""
     named = labelled.where(F.col(verdict).isin("allow", "block") & F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(verdict) == "allow").alias("good"))
-    rows = named.orderBy(F.xxhash64("url"), "url").limit(urls).collect()
+    rows = least_hashed(named, "url", urls).collect()
     text, good = [r.url for r in rows], np.array([r.good for r in rows], bool)
     aside = np.arange(len(text)) % 5 == 4
     part = MarkovRatio.fit_arrays([t for t, a in zip(text, aside, strict=True) if not a], good[~aside])
