@@ -402,8 +402,8 @@ def range_text(t):
 
 
 _RESAMPLE = f"""WITH {LINE}, s AS (SELECT user_id, t - min(t) OVER (PARTITION BY user_id) AS t, v, event_id FROM line),
-n AS (SELECT user_id, t, v, lead(t) {_W} AS t2, lead(v) {_W} AS v2 FROM s), m AS (SELECT *, unnest(range(CAST(ceil(t / 12.0) AS BIGINT), CAST(ceil(t2 / 12.0) AS BIGINT))) * 12.0::DOUBLE AS at FROM n WHERE t2 > t)
-SELECT user_id, {r('at', 4)} AS at, {r('v + (v2 - v) * (at - t) / (t2 - t)', 4)} AS v FROM m"""
+n AS (SELECT user_id, t, v, lead(t) {_W} AS t2, lead(v) {_W} AS v2 FROM s), m AS (SELECT *, unnest(range(CAST(ceil(t / 12.0) AS BIGINT), CAST(ceil(t2 / 12.0) AS BIGINT))) * 12.0::DOUBLE AS hour FROM n WHERE t2 > t)
+SELECT user_id, {r('hour', 4)} AS hour, {r('v + (v2 - v) * (hour - t) / (t2 - t)', 4)} AS v FROM m"""
 
 
 @query(_RESAMPLE)
@@ -413,9 +413,9 @@ def interp_lookup(t):
     start = line.groupBy("user_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     rows = line.join(start, "user_id").withColumn("t", F.col("t") - F.col("t0"))
     last = (F.ceil((F.col("t1") - F.col("t0")) / 12.0) - 1).cast("long")
-    places = start.where("t1 > t0").select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).select("user_id", (F.col("k") * 12.0).alias("at"))
+    places = start.where("t1 > t0").select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).select("user_id", (F.col("k") * 12.0).alias("hour"))
     first_of = rows.groupBy("user_id", "t").agg(F.max_by("v", "event_id").alias("v"))
-    return rounded(sequence.interpolate(places, first_of, ["user_id"], "at", "t", "v"), "at", "v", places=4)
+    return rounded(sequence.interpolate(places, first_of, ["user_id"], "hour", "t", "v"), "hour", "v", places=4)
 
 
 @query()
