@@ -3,8 +3,8 @@
 The tokens of a document are its runs of five words. For each of several hash functions a Cartesian tree over the
 token hashes groups all subsequences of at least `least` tokens by where their minimum lies: the compact window
 [l, r] around a centre c stands for all of them that contain c. Passages that are alike share minima, so windows with
-the same function and minimum are candidates; half of the functions also want the tokens five words before and after
-the minimum to agree, which keeps frequent phrases apart. Each window is paired with the first document that has its
+the same function and minimum are candidates, if the token that follows the minimum's five words agrees too, which
+keeps apart frequent phrases that happen to recur. Each window is paired with the first document that has its
 minimum, which is linear in a group's size. The windows of a pair of documents, from all functions, are joined as
 intervals, and the passages within them are verified token by token.
 """
@@ -25,8 +25,8 @@ from pointlake.llm.member_filter import MemberFilter
 SHINGLE = 5
 #: Shortest passage, in words, and least Jaccard similarity of its tokens.
 MIN_WORDS, SIMILARITY = 50, 0.8
-#: For each hash function, whether the minimum's neighbours are part of the key.
-FUNCTIONS = (False, False, True, True)
+#: Hash functions. An edited word hides a window if it falls on the ten words from its minimum on, or moves the minimum.
+FUNCTIONS = 3
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -79,17 +79,14 @@ def document_windows(text: pa.Array, min_words: int = MIN_WORDS) -> Iterator[tup
         w = words(data, offsets)
         token, owner, number = shingles(w, SHINGLE)
         begin = np.concatenate([[0], np.cumsum(number)])
-        near = None
-        for k, context in enumerate(FUNCTIONS):
+        after = np.zeros(len(token), np.uint64)  # 0 at a document's end
+        same = owner[SHINGLE:] == owner[:-SHINGLE]
+        after[:-SHINGLE][same] = token[SHINGLE:][same]
+        for k in range(FUNCTIONS):
             value = mix(token + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1))
             c, l, r = compact_windows(value, begin, least)  # noqa: E741
-            key = value[c]
-            if context:
-                if near is None:
-                    near = mix(np.roll(token, SHINGLE)) + np.roll(token, -SHINGLE)
-                key = mix(key ^ near[c])
             row = owner[c]
-            yield key ^ np.uint64(k), row + first, l - begin[row], r - begin[row]
+            yield mix(value[c] ^ after[c]) ^ np.uint64(k), row + first, l - begin[row], r - begin[row]
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
