@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Text handed to numpy at once; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -122,11 +123,11 @@ def range_number(bounds: list[int], id_col: str) -> Column:
     """How many of the ascending bounds an id has reached: the number of its range. Null: 0."""
     if not bounds:
         return F.lit(0)
-    known = F.array(*[F.lit(int(x)).cast("long") for x in bounds])
-    # width_bucket() has equal widths only; a binary search over few levels stays an expression.
-    low, high = F.lit(0), F.lit(len(bounds))
-    for _ in range(len(bounds).bit_length()):
-        middle = F.floor((low + high) / 2).cast("int")
-        right = F.coalesce((low < high) & (F.element_at(known, F.least(middle + 1, F.lit(len(bounds)))) <= F.col(id_col)), F.lit(False))
-        low, high = F.when(right, middle + 1).otherwise(low), F.when(right, high).otherwise(middle)
-    return low.cast("int")
+    limits = np.array(bounds, np.int64)
+
+    @arrow_udf("int")
+    def reached(ids: pa.Array) -> pa.Array:
+        known = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(limits, known, "right").astype(np.int32))
+
+    return reached(F.col(id_col).cast("long"))
