@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import Words, prefix_sums, span_hash, words
-from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, least_hashed, materialise, rows_of, text_blocks, tune
 
 #: Words whose values documents look up in place: a table of this many rows of 24 bytes goes to every task.
 HEAD_WORDS = 100_000
@@ -225,7 +225,7 @@ def find_classes(docs: DataFrame, number: int = CLASSES, most: int = CLASS_DOCS,
                 yield batches({"h": [x.view(np.int64) for x, _ in parts], "n": [n for _, n in parts]}, schema)
 
     learnt = docs.where("not held_out and doc_id is not null")
-    ids = learnt.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = least_hashed(learnt.select("doc_id").distinct(), "doc_id", most)
     chosen = learnt.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = [(np.array(r.h, np.int64).view(np.uint64), np.array(r.n, np.float64)) for r in chosen.mapInArrow(run, "h array<long>, n array<long>").collect()]
     rows.sort(key=lambda r: (len(r[0]), r[0].tobytes()))
@@ -310,6 +310,19 @@ def fit(counted: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Lattice:
     return lattice
 
 
+def most_frequent(valued: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the most frequent words: those from a count on that so few reach. The count comes from a
+    histogram of some hundred steps, so nothing is sorted and no task or driver holds more rows than that."""
+    step = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    total, least = 0, None
+    for r in sorted(valued.where("c > 0").groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.s
+    return valued.where((F.col("c") > 0) & (step >= least) if least is not None else F.lit(False))
+
+
 def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """A row for every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -353,7 +366,7 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
     lp_kinds = ", ".join(f"{k} double" for k in lps)
     valued, _ = materialise(counted.mapInArrow(values, f"h long, c long, {lp_kinds}"), "values")
     discard(spark, counted_path)
-    head = valued.orderBy(F.desc("c"), "h").limit(head_words).toPandas()
+    head = most_frequent(valued, head_words).toPandas()
     head_h, head_c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
     head_values = [(head_c > 0).astype(np.float64), np.log10(head_c + SMOOTH), *[head[k].to_numpy(np.float64) for k in lps]]
 
