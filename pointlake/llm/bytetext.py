@@ -40,7 +40,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray, fold: bool = True) -> np.ndarray:
     """S with S[i] the polynomial hash sum of data[:i], A-Z as lower case if `fold`; see span_hash()."""
-    power, _ = _power(max(1 << 21, len(data) + 1))
+    power, _ = _power(max(1 << 20, len(data)) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _EXACT)[data] * power[: len(data)], out=out[1:])
     return out

@@ -126,11 +126,12 @@ def _word_parts(piece: str) -> list[str]:
 _encoders: dict[str, tuple[PieceEncoder, np.dtype]] = {}
 
 
-def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
+def library_encoder(file: str, remembered: int = REMEMBERED) -> tuple[PieceEncoder, np.dtype]:
     """The encoder of a tokenizers file, special strings counting as text, and the type of its packed ids; a worker
-    process keeps it from task to task. Pre-tokens are known for the two kinds of file described in the tokenizers'
+    process keeps it from task to task, with so many pieces. Pre-tokens are known for the two kinds of file described in the tokenizers'
     README: byte-level, and with word ends; for others it raises ValueError."""
     if file in _encoders:
+        _encoders[file][0].remembered = remembered
         return _encoders[file]
     import json
 
@@ -171,5 +172,6 @@ def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
         encoder = PieceEncoder(byte_level_parts, one_by_one)
     else:
         raise ValueError(f"no rule for the pre-tokens of {file}")
+    encoder.remembered = remembered
     _encoders[file] = encoder, kind
     return _encoders[file]
