@@ -102,18 +102,6 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, l int, r int")
 
 
-def _occurrence_keys(token: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Hashes of (pair, token, how often the pair's text had the token before), in the order of tokens."""
-    key = token ^ mix(owner.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    nth = np.arange(len(s)) - np.repeat(new, np.diff(np.append(new, len(s))))
-    out = np.empty_like(key)
-    out[order] = mix(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return out
-
-
 def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
     """(start, length, start in the other, similarity) of passages in tokens. match: for each token of a document its
     place in the other or -1.
@@ -149,50 +137,145 @@ def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int
     return out
 
 
+def common_run(least: int, similarity: float) -> int:
+    """Tokens that a passage of `least` or more has at least in one unbroken stretch.
+
+    Where stretches are broken, one text or the other lacks at least 2 * SHINGLE - 1 tokens together and each lacks
+    SHINGLE - 1 (unless the words there repeat themselves). With e breaks, the m common tokens are so at least
+    e * (2 * SHINGLE - 1) * s / (1 - s) and s * (least + e * (SHINGLE - 1)), in e + 1 stretches."""
+    if similarity >= 1:
+        return least
+    lost = (2 * SHINGLE - 1) * similarity / (1 - similarity)
+    most = [max(e * lost, similarity * (least + e * (SHINGLE - 1))) / (e + 1) for e in range(1, 64)]
+    return max(1, min(least, *(int(np.ceil(x - 1e-9)) for x in most)))
+
+
+def _runs(token: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of all runs of `run` tokens."""
+    n = max(0, len(token) - run + 1)
+    out = np.zeros(n, np.uint64)
+    for k in sorted({*range(0, run, SHINGLE), run - 1}):  # the words of these tokens are all words of the run
+        out = mix(out ^ token[k : k + n]) + np.uint64(k)
+    return out
+
+
+def _seeds(own: np.ndarray, other: np.ndarray, run: int) -> np.ndarray:
+    """Rows (i, j, n): where stretches of n >= `run` equal tokens, as long as they can be, begin in both; by i."""
+    a, b = _runs(own, run), _runs(other, run)
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    low = np.searchsorted(b, a)
+    number = np.searchsorted(b, a, "right") - low
+    if not number.any():
+        return np.zeros((0, 3), np.int64)
+    first, last, total, row = [], [], np.cumsum(number), 0
+    while row < len(a):
+        base = int(total[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(total, base + (1 << 20), "right")))
+        n = number[row:end]
+        i = np.repeat(np.arange(row, end), n)
+        j = order[np.repeat(low[row:end], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        starts = (i == 0) | (j == 0) | (own[i - 1] != other[j - 1])
+        ends = (i == len(a) - 1) | (j == len(b) - 1) | (own[np.minimum(i + run, len(own) - 1)] != other[np.minimum(j + run, len(other) - 1)])
+        first.append(np.column_stack([i[starts], j[starts]]))
+        last.append(np.column_stack([i[ends], j[ends]]))
+        row = end
+    p, q = np.concatenate(first), np.concatenate(last)
+    p, q = (x[np.lexsort((x[:, 0], x[:, 1] - x[:, 0]))] for x in (p, q))
+    out = np.column_stack([p, q[:, 0] - p[:, 0] + run])
+    return out[np.lexsort((out[:, 2], out[:, 0]))]
+
+
+def _nearest(own: np.ndarray, other: np.ndarray, shift: int) -> np.ndarray:
+    """For each token of own, at k, the place in other that has it and is nearest to k + shift, or -1."""
+    order = np.argsort(other, kind="stable")
+    value, m = other[order], len(other)
+    key = np.searchsorted(value, value) * m + order
+    first = np.searchsorted(value, own)
+    known = value[np.minimum(first, m - 1)] == own
+    want = np.clip(np.arange(len(own)) + shift, 0, m - 1)
+    at = np.searchsorted(key, first * m + want)
+    after, before = key[np.minimum(at, m - 1)], key[np.maximum(at - 1, 0)]
+    has_after, has_before = (at < m) & (after // m == first), (at > 0) & (before // m == first)
+    after, before = after % m, before % m
+    near = np.where(has_after & ~(has_before & (want - before < after - want)), after, before)
+    return np.where(known & (has_after | has_before), near, -1)
+
+
+def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
+    """passages() of two documents' tokens, which cover all that a passage covers in own.
+
+    Each stretch of equal tokens is a seed with a place in both; the tokens around it are matched with their occurrence
+    nearest to that place, so what the texts repeat elsewhere doesn't matter. Seeds in what is covered add nothing."""
+    seeds = _seeds(own, other, common_run(least, similarity))
+    # Seeds that are passages by themselves: few that cover the same, by taking the one that reaches furthest.
+    queue, best, reach = [], None, -1
+    for i, j, n in seeds[seeds[:, 2] >= least].tolist():
+        if best is not None and i > reach:
+            queue.append(best)
+            reach, best = best[0] + best[2], None
+        if i + n > reach and (best is None or i + n > best[0] + best[2]):
+            best = i, j, n
+    queue += [best] if best else []
+    # The others need similarity * least tokens around them that the other text has at all.
+    short = seeds[seeds[:, 2] < least]
+    if len(short):
+        has = np.concatenate([[0], np.cumsum(np.isin(own, other))])
+        enough = has[np.minimum(short[:, 0] + short[:, 2] + least, len(own))] - has[np.maximum(short[:, 0] - least, 0)] >= similarity * least
+        queue += map(tuple, short[enough].tolist())
+    out: list[tuple[int, int, int, float]] = []
+    covered, failed = np.zeros(len(own), bool), set()
+    for i, j, n in queue:
+        if covered[i : i + n].all():
+            continue
+        wide = max(least, n)
+        while True:
+            low, high = max(0, i - wide), min(len(own), i + n + wide)
+            other_low, other_high = max(0, j - wide * 3 // 2), min(len(other), j + n + wide * 3 // 2)
+            part, around = own[low:high], other[other_low:other_high]
+            seen = part.tobytes(), around.tobytes(), i - low, j - other_low
+            if seen in failed:
+                break
+            match = _nearest(part, around, j - other_low - (i - low))
+            able = np.count_nonzero(match >= 0) >= similarity * least
+            got = [(s + low, length, at + other_low, same) for s, length, at, same in (passages(match, least, similarity) if able else []) if s + low < i + n and i < s + low + length]
+            if not got:
+                failed.add(seen)
+            if all((s > low or not low) and (s + length < high or high == len(own)) for s, length, _, _ in got):
+                for s, length, _, _ in got:
+                    covered[s : s + length] = True
+                out += [g for g in got if g not in out]
+                break
+            wide *= 2
+    return out
+
+
 def verified(pairs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """pairs: doc_id, text_key, text, other_id, other_text, spans (l, r). Rows of spans(), below."""
+    """pairs: doc_id, text_key, text, other_id, other_text. Rows of spans(), below."""
     least = min_words - SHINGLE + 1
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("first_start_word", pa.int64()), ("similarity", pa.float64())])
 
-    def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        value, number = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def tokens(text: pa.Array) -> list[np.ndarray]:
+        out = []
         for _, _, data, offsets in text_blocks(text):
             v, _, n = shingles(words(data, offsets), SHINGLE)
-            value.append(v)
-            number.append(n)
-        return np.concatenate(value), np.concatenate(number)
+            out += np.split(v, np.cumsum(n)[:-1])
+        return out
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows_of(it):
             for low in range(0, whole.num_rows, 256):
                 b = whole.slice(low, 256)
                 out: dict[str, list] = {f.name: [] for f in schema}
-                (value, number), (other, other_number) = tokens(column(b, "text")), tokens(column(b, "other_text"))
-                row = np.arange(b.num_rows)
-                key, other_key = _occurrence_keys(value, np.repeat(row, number)), _occurrence_keys(other, np.repeat(row, other_number))
-                begin, other_begin = np.cumsum(number) - number, np.cumsum(other_number) - other_number
-                order = np.argsort(other_key)
-                j = np.minimum(np.searchsorted(other_key[order], key), max(0, len(other_key) - 1))
-                match = np.full(len(key), -1, np.int64)
-                if len(other_key):
-                    found = order[j]
-                    same = other_key[found] == key
-                    match[same] = found[same] - np.repeat(other_begin, number)[same]
-                spans = column(b, "spans").to_pylist()
-                for k, (doc, text_key, first) in enumerate(zip(column(b, "doc_id").to_pylist(), column(b, "text_key").to_pylist(), column(b, "other_id").to_pylist(), strict=True)):
-                    mine = match[begin[k] : begin[k] + number[k]]
-                    cover = np.zeros(len(mine) + 1, np.int64)
-                    l = np.minimum([s["l"] for s in spans[k]], len(mine))  # noqa: E741
-                    np.add.at(cover, l, 1)
-                    np.add.at(cover, np.minimum([s["r"] + 1 for s in spans[k]], len(mine)), -1)
-                    mine = np.where(np.cumsum(cover)[:-1] > 0, mine, -1)
-                    for start, length, at, same in passages(mine, least, similarity):
+                each = zip(column(b, "doc_id").to_pylist(), column(b, "text_key").to_pylist(), column(b, "other_id").to_pylist(), tokens(column(b, "text")), tokens(column(b, "other_text")), strict=True)
+                for doc, text_key, first, own, other in each:
+                    for start, length, at, same in aligned(own, other, least, similarity):
                         for name, x in zip(out, (doc, text_key, start, length + SHINGLE - 1, first, at, same), strict=True):
                             out[name].append(x)
                 yield batches(out, schema)
 
     kinds = "doc_id long, text_key long, start_word long, n_words long, first_doc_id long, first_start_word long, similarity double"
-    return pairs.select("doc_id", "text_key", "text", "other_id", "other_text", "spans").mapInArrow(run, kinds)
+    return pairs.select("doc_id", "text_key", "text", "other_id", "other_text").mapInArrow(run, kinds)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:

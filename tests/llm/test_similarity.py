@@ -77,6 +77,25 @@ def test_passages(spark, extra):
             assert after[i] == t
 
 
+def _covered(spark, rows):
+    """{doc_id: places of words in passages that an earlier document has}."""
+    out = {}
+    for r in compact_windows.spans(table(spark, rows)).collect():
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    return out
+
+
+def test_passages_among_repeated_lines(spark):
+    rng = random.Random(7)
+    text = lambda n: prose(rng, n).split()
+    twice, x = text(60), text(60)
+    line = x[24:36]
+    rows = [(1, text(9) + twice + text(9)), (2, text(20) + twice + text(20) + twice), (3, text(9) + x + text(9)), (4, line + text(10) + x + text(10))]
+    rows += [(5, line + text(9) + line + text(9) + line)]
+    got = _covered(spark, [(i, " ".join(t)) for i, t in rows])
+    assert got == {2: {*range(20, 80), *range(100, 160)}, 4: set(range(22, 82))}
+
+
 def test_passages_awkward(spark):
     docs = table(spark, awkward(), True)
     got = {r.doc_id for r in compact_windows.spans(docs).collect()}
