@@ -1,12 +1,11 @@
 """Substring dedup by compact windows.
 
-The tokens of a document are its runs of five words. For each of several hash functions a Cartesian tree over the
-token hashes groups all subsequences of at least `least` tokens by where their minimum lies: the compact window
-[l, r] around a centre c stands for all of them that contain c. Passages that are alike share minima, so windows with
-the same function and minimum are candidates, if the token that follows the minimum's five words agrees too, which
-keeps apart frequent phrases that happen to recur. Each window is paired with the first document that has its
-minimum, which is linear in a group's size. The windows of a pair of documents, from all functions, are joined as
-intervals, and the passages within them are verified token by token.
+The tokens of a document are its runs of five words. A passage of enough words and similarity has an unbroken stretch of
+common_run() tokens in both texts (24 words, by default). A Cartesian tree over the hashes of ten-word anchors groups all
+subsequences of such a stretch's length by where their minimum lies, so two texts with a common stretch have the anchor
+at its minimum in common, and seven words more before or after it: no candidate is left to chance. Anchors are grouped
+by these contexts, compared with the first of each group, and passages are aligned from the
+common stretches' places in both texts.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from pointlake.llm.member_filter import MemberFilter
 SHINGLE = 5
 #: Shortest passage, in words, and least Jaccard similarity of its tokens.
 MIN_WORDS, SIMILARITY = 50, 0.8
-#: Hash functions. An edited word hides a window if it falls on the ten words from its minimum on, or moves the minimum.
-FUNCTIONS = 3
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -72,34 +69,62 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
     return c, l, r
 
 
-def document_windows(text: pa.Array, min_words: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, row, l, r) of all functions, l and r as places among the row's tokens."""
-    least = min_words - SHINGLE + 1
+def common_run(least: int, similarity: float) -> int:
+    """Tokens that a passage of `least` or more has at least in one unbroken stretch.
+
+    Where stretches are broken, one text or the other lacks at least 2 * SHINGLE - 1 tokens together and each lacks
+    SHINGLE - 1 (unless the words there repeat themselves). With e breaks, the m common tokens are so at least
+    e * (2 * SHINGLE - 1) * s / (1 - s) and s * (least + e * (SHINGLE - 1)), in e + 1 stretches."""
+    if similarity >= 1:
+        return least
+    lost = (2 * SHINGLE - 1) * similarity / (1 - similarity)
+    most = [max(e * lost, similarity * (least + e * (SHINGLE - 1))) / (e + 1) for e in range(1, 64)]
+    return max(1, min(least, *(int(np.ceil(x - 1e-9)) for x in most)))
+
+
+def anchor_step(run: int) -> int:
+    """How far the two tokens of an anchor are apart: it has ten words where a run has room for that, or else five."""
+    return SHINGLE if run > 2 * SHINGLE else 0
+
+
+def document_anchors(text: pa.Array, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, row, place among the row's tokens, hash of the words before, of those after, whether it has these)."""
+    run = common_run(min_words - SHINGLE + 1, similarity)
+    step = anchor_step(run)
+    number_in_run = run - step
+    side = number_in_run // 2
     for first, _, data, offsets in text_blocks(text):
-        w = words(data, offsets)
-        token, owner, number = shingles(w, SHINGLE)
+        token, owner, number = shingles(words(data, offsets), SHINGLE)
         begin = np.concatenate([[0], np.cumsum(number)])
-        after = np.zeros(len(token), np.uint64)  # 0 at a document's end
-        same = owner[SHINGLE:] == owner[:-SHINGLE]
-        after[:-SHINGLE][same] = token[SHINGLE:][same]
-        for k in range(FUNCTIONS):
-            value = mix(token + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1))
-            c, l, r = compact_windows(value, begin, least)  # noqa: E741
-            row = owner[c]
-            yield mix(value[c] ^ after[c]) ^ np.uint64(k), row + first, l - begin[row], r - begin[row]
+
+        def at(c: np.ndarray, k: int, token: np.ndarray = token) -> np.ndarray:
+            return token[np.clip(c + k, 0, max(0, len(token) - 1))]
+
+        place = np.arange(len(token))
+        value = mix(token ^ mix(at(place, step) + np.uint64(1)))
+        # Anchors that reach over a document's end aren't wanted: a document has `step` fewer of them than tokens.
+        whole = place + step < begin[owner + 1]
+        value, place, owner = value[whole], place[whole], owner[whole]
+        fewer = np.maximum(number - step, 0)
+        c, _, _ = compact_windows(value, np.concatenate([[0], np.cumsum(fewer)]), number_in_run)
+        key, row, c = value[c], owner[c], place[c]
+        before = mix(at(c, -side) ^ mix(at(c, -min(side, SHINGLE))))
+        after = mix(at(c, step + side) ^ mix(at(c, step + min(side, SHINGLE))))
+        yield key, row + first, c - begin[row], before, after, c - side >= begin[row], c + step + side < begin[row + 1]
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, doc_id, l, r) of docs (doc_id, text)."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, doc_id, at, before, after) of docs (doc_id, text)."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
             ids = column(b, "doc_id").to_numpy()
-            for key, row, l, r in document_windows(column(b, "text"), min_words):  # noqa: E741
-                yield batches({"key": key.view(np.int64), "doc_id": ids[row], "l": l.astype(np.int32), "r": r.astype(np.int32)}, schema)
+            for key, row, at, before, after, has_before, has_after in document_anchors(column(b, "text"), min_words, similarity):
+                sides = {"before": pa.array(before.astype(np.uint32).view(np.int32), mask=~has_before), "after": pa.array(after.astype(np.uint32).view(np.int32), mask=~has_after)}
+                yield batches({"key": key.view(np.int64), "doc_id": ids[row], "at": at.astype(np.int32), **sides}, schema)
 
-    return docs.mapInArrow(run, "key long, doc_id long, l int, r int")
+    return docs.mapInArrow(run, "key long, doc_id long, at int, before int, after int")
 
 
 def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -137,19 +162,6 @@ def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int
     return out
 
 
-def common_run(least: int, similarity: float) -> int:
-    """Tokens that a passage of `least` or more has at least in one unbroken stretch.
-
-    Where stretches are broken, one text or the other lacks at least 2 * SHINGLE - 1 tokens together and each lacks
-    SHINGLE - 1 (unless the words there repeat themselves). With e breaks, the m common tokens are so at least
-    e * (2 * SHINGLE - 1) * s / (1 - s) and s * (least + e * (SHINGLE - 1)), in e + 1 stretches."""
-    if similarity >= 1:
-        return least
-    lost = (2 * SHINGLE - 1) * similarity / (1 - similarity)
-    most = [max(e * lost, similarity * (least + e * (SHINGLE - 1))) / (e + 1) for e in range(1, 64)]
-    return max(1, min(least, *(int(np.ceil(x - 1e-9)) for x in most)))
-
-
 def _runs(token: np.ndarray, run: int) -> np.ndarray:
     """Hashes of all runs of `run` tokens."""
     n = max(0, len(token) - run + 1)
@@ -284,22 +296,39 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     A passage has at least min_words words in both. Words are as in bytetext; passages repeated within one document
     don't count, nor do rows without an id; null texts have no passages. Rows with equal ids are one document of
-    several texts. Documents without such passages have no rows."""
+    several texts. Documents without such passages have no rows.
+
+    Anchors are compared with the first document that has their context."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found, found_path = materialise(windows(rows, min_words), "windows")
-    shared, shared_path = materialise(found.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most")).where("other_id < most").select("key", "other_id"), "minima")
+
+    def several(table: DataFrame) -> DataFrame:
+        return table.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most")).where("other_id < most").select("key", "other_id")
+
+    def check(linked: DataFrame) -> DataFrame:
+        """The passages of linked (doc_id, other_id)."""
+        pairs, path = materialise(linked.distinct(), "pairs")
+        involved = MemberFilter.build(pairs.select("doc_id").unionByName(pairs.select(F.col("other_id").alias("doc_id"))).distinct(), "doc_id")
+        texts = rows.where(involved.perhaps(F.col("doc_id")))
+        own = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).distinct()
+        other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).distinct()
+        out, _ = materialise(verified(pairs.join(own, "doc_id").join(other, "other_id"), min_words, similarity).distinct(), "passages")
+        discard(spark, path)
+        return out
+
+    found, found_path = materialise(windows(rows, min_words, similarity), "windows")
+    shared, shared_path = materialise(several(found), "minima")
     again = MemberFilter.build(shared, "key")
-    linked = found.where(again.perhaps(F.col("key"))).join(shared, "key").where("doc_id > other_id").select("doc_id", "other_id", "l", "r")
-    pairs, _ = materialise(linked.groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("l", "r")).alias("spans")), "pairs")
+    sides = F.array(F.when(F.col("before").isNotNull(), F.xxhash64(F.lit(0), "key", "before")), F.when(F.col("after").isNotNull(), F.xxhash64(F.lit(1), "key", "after")))
+    meeting = found.where(again.perhaps(F.col("key"))).join(shared, "key", "left_semi").select("doc_id", "at", F.explode(sides).alias("key")).where("key is not null")
+    meeting, meeting_path = materialise(meeting, "contexts")
     discard(spark, found_path)
     discard(spark, shared_path)
-    involved = MemberFilter.build(pairs.select("doc_id").unionByName(pairs.select(F.col("other_id").alias("doc_id"))).distinct(), "doc_id")
-    texts = rows.where(involved.perhaps(F.col("doc_id")))
-    own = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).distinct()
-    other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).distinct()
-    return verified(pairs.join(own, "doc_id").join(other, "other_id"), min_words, similarity).distinct()
+    held, _ = materialise(meeting.join(several(meeting), "key", "left_semi"), "held")
+    discard(spark, meeting_path)
+
+    return check(held.join(several(held), "key").where("doc_id > other_id").select("doc_id", "other_id"))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:

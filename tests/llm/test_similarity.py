@@ -96,6 +96,21 @@ def test_passages_among_repeated_lines(spark):
     assert got == {2: {*range(20, 80), *range(100, 160)}, 4: set(range(22, 82))}
 
 
+def test_no_edited_passage_is_missed(spark):
+    rng, rows, want = random.Random(8), [], set()
+    text = lambda n: prose(rng, n).split()
+    for k in range(600):
+        n = rng.choice([50, 60, 100])
+        x = text(n)
+        edited = list(x)
+        if k % 4:
+            for at in range(25, n - 20, 50):
+                edited[at + rng.randrange(-15, 15)] = f"edit{k}"
+        rows += [(2 * k, text(60) + x + text(60)), (2 * k + 1, text(60) + edited + text(60))]
+        want.add(2 * k + 1)
+    assert set(_covered(spark, [(i, " ".join(t)) for i, t in rows])) == want
+
+
 def test_passages_awkward(spark):
     docs = table(spark, awkward(), True)
     got = {r.doc_id for r in compact_windows.spans(docs).collect()}
