@@ -4,7 +4,7 @@ The tokens of a document are its runs of five words. A passage of enough words a
 common_run() tokens in both texts (24 words, by default). A Cartesian tree over the hashes of ten-word anchors groups all
 subsequences of such a stretch's length by where their minimum lies, so two texts with a common stretch have the anchor
 at its minimum in common, and seven words more before or after it: no candidate is left to chance. Anchors are grouped
-by these contexts, compared with the first of each group, and passages are aligned from the
+by these contexts, compared in rounds until every group is exhausted (see spans()), and passages are aligned from the
 common stretches' places in both texts.
 """
 
@@ -298,11 +298,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     don't count, nor do rows without an id; null texts have no passages. Rows with equal ids are one document of
     several texts. Documents without such passages have no rows.
 
-    Anchors are compared with the first document that has their context."""
+    Anchors are compared with the first document that has their context, in rounds: those that no passage covers then
+    are compared with the first of what is left, and when rounds settle few, with all holders of the context."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
+    run = common_run(min_words - SHINGLE + 1, similarity)
+    width = SHINGLE + anchor_step(run)
+
     def several(table: DataFrame) -> DataFrame:
         return table.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most")).where("other_id < most").select("key", "other_id")
 
@@ -328,7 +332,31 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     held, _ = materialise(meeting.join(several(meeting), "key", "left_semi"), "held")
     discard(spark, meeting_path)
 
-    return check(held.join(several(held), "key").where("doc_id > other_id").select("doc_id", "other_id"))
+    sizes, _ = materialise(held.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least")), "sizes")
+    left, result, every = held.withColumn("fresh", F.lit(True)), None, False
+    number = rows_held = held.count()
+    while number:
+        if every:
+            linked = left.join(held.select("key", F.col("doc_id").alias("other_id")).distinct(), "key").where("doc_id > other_id")
+        else:
+            heads, _ = materialise(several(left.where("fresh")), "heads")
+            linked = left.join(heads, "key").where("doc_id > other_id")
+        now = check(linked.select("doc_id", "other_id"))
+        result = now if result is None else result.unionByName(now)
+        if every:
+            break
+        cover = now.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
+        inside = F.exists("cover", lambda p: (p.start_word <= F.col("at")) & (F.col("at") + width <= p.start_word + p.n_words))
+        rest = left.join(cover, "doc_id", "left").where(F.col("cover").isNull() | ~inside).join(heads, "key", "left")
+        rest = rest.select("key", "doc_id", "at", (F.col("fresh") & (F.col("doc_id") > F.coalesce("other_id", "doc_id"))).alias("fresh"))
+        # The document with a group's smallest id has nothing to be compared with.
+        left, _ = materialise(rest.join(sizes, "key").where("doc_id > least").select("key", "doc_id", "at", "fresh"), "left")
+        before, number = number, left.count()
+        cost = left.groupBy("key").agg(F.count("*").alias("n")).join(sizes, "key").agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+        every = number > 0.9 * before or cost <= 2 * rows_held
+    if result is None:
+        return verified(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).limit(0), min_words, similarity)
+    return result.distinct()
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -85,6 +85,24 @@ def _covered(spark, rows):
     return out
 
 
+def test_passages_beyond_the_first_holder(spark):
+    rng, rows, want = random.Random(6), [], {}
+    text = lambda n: prose(rng, n).split()
+    for k in range(40):
+        x, y = text(60), text(80)
+        base = 100 * k
+        rows += [(base, text(30) + x[:45] + text(30)), (base + 1, text(20) + x + text(20)), (base + 2, text(25) + x + text(25))]
+        want[base + 2] = set(range(25, 85))
+        rows += [(base + 10, text(20) + y[:45] + text(9)), (base + 11, text(20) + y[35:] + text(9)), (base + 12, text(30) + y + text(30)), (base + 13, text(40) + y + text(10))]
+        want[base + 13] = set(range(40, 120))
+    line = text(30)
+    rows += [(9000 + k, text(30) + line + text(30)) for k in range(30)]  # frequent, and too short
+    got = _covered(spark, [(i, " ".join(t)) for i, t in rows])
+    assert got.keys() == want.keys()
+    # The words beside a passage may be equal by chance, as some are frequent.
+    assert all(want[i] <= got[i] and len(got[i]) <= len(want[i]) + 4 for i in want)
+
+
 def test_passages_among_repeated_lines(spark):
     rng = random.Random(7)
     text = lambda n: prose(rng, n).split()
