@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -95,6 +96,29 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         row = end
 
 
+def tidy() -> None:
+    """Give freed memory back to the system at the end of a task: the worker stays for the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def input_bytes(df: DataFrame) -> int:
+    """About how many bytes df's plan reads, by Catalyst's statistics; at most 2**50, where these know nothing."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    sizes, todo = 0, [plan]
+    while todo:
+        now = todo.pop()
+        children = now.children()
+        if children.isEmpty():
+            sizes += min(1 << 50, int(str(now.stats().sizeInBytes())))
+        else:
+            todo += [children.apply(k) for k in range(children.size())]
+    return min(1 << 50, sizes)
+
+
 def batches(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -1,11 +1,18 @@
 """Substring dedup by compact windows.
 
-The tokens of a document are its runs of five words. A passage of enough words and similarity has an unbroken stretch of
-common_run() tokens in both texts (24 words, by default). A Cartesian tree over the hashes of ten-word anchors groups all
-subsequences of such a stretch's length by where their minimum lies, so two texts with a common stretch have the anchor
-at its minimum in common, and seven words more before or after it: no candidate is left to chance. Anchors are grouped
-by these contexts, compared in rounds until every group is exhausted (see spans()), and passages are aligned from the
-common stretches' places in both texts.
+The tokens of a document are its runs of five words. For each of FUNCTIONS hash functions a Cartesian tree over the
+tokens' hashes groups all subsequences of at least a passage's length by their minimum, so a few windows (c, l, r) stand
+for all of them: every subsequence that begins in l..c and ends in c..r has its minimum at c. Two texts with a passage of
+Jaccard similarity s have equal minima for each function with probability s.
+
+1. Windows with equal minima meet, and each is linked to the window of the smallest document (spans() says how hot
+   minima are kept apart). Documents of equal words count as one from the start.
+2. The windows that two documents are linked by are joined as intervals: a pair is a candidate where ENOUGH functions
+   agree on a common subsequence in both.
+3. Candidates' tokens are aligned, which gives exact passages and similarities.
+4. Windows that no passage covers were linked to a document that shares something else, such as a frequent line. They
+   meet again by sharper signatures, the minima of two functions over one subsequence, and are linked to the smallest
+   and to the preceding document there. What they find is aligned as well.
 """
 
 from __future__ import annotations
@@ -14,31 +21,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from pointlake.llm.bytetext import mix, shingles, words
-from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, input_bytes, materialise, rows_of, text_blocks, tidy, tune
 from pointlake.llm.member_filter import MemberFilter
 
 SHINGLE = 5
 #: Shortest passage, in words, and least Jaccard similarity of its tokens.
 MIN_WORDS, SIMILARITY = 50, 0.8
-_POSITION = np.uint64((1 << 24) - 1)
+#: Hash functions, and how many must agree on a common subsequence.
+FUNCTIONS, ENOUGH = 6, 2
+#: Holders of a minimum that a task sends on; it links what it has beyond them among itself.
+HELD = 64
+#: Windows that a task packs together, and bytes of input for each bucket of minima.
+PACKED, BUCKET_BYTES = 1 << 19, 4 << 20
+#: Buckets where the input's size isn't known.
+UNKNOWN_BUCKETS = 1 << 10
+#: A window's reach to either side is kept up to so many tokens.
+REACH = 255
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the compact windows of width >= least, by ascending c. value: hashes of fewer than 2**24 tokens,
-    documents one after the other; begin: the first token of each document and the number of all.
+    """(c, l, r) of the compact windows of width >= least, by ascending c. value: hashes of tokens, documents one after
+    the other; begin: the first token of each document and the number of all.
 
-    Values are compared by their upper 40 bits and then by place, so the leftmost of equal ones is the minimum. A
+    Values are compared by their upper 40 bits (fewer from 2**24 tokens on, as a place takes the rest) and then by
+    place, so the leftmost of equal ones is the minimum. A
     centre is the minimum of some run of `least` tokens, and the nearest smaller token on either side of it is one too
     (its run reaches over the whole window). So the tree is needed over centres alone; parents are found by following
     pointers from centre to centre."""
     n = len(value)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    order = (value & ~_POSITION) | np.arange(n, dtype=np.uint64)
+    position = np.uint64((1 << max(24, n.bit_length())) - 1)
+    order = (value & ~position) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = order
     block = padded.reshape(-1, least)
@@ -48,7 +68,7 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
     inside = np.ones(n - least + 1, bool)
     for b in begin[1:-1]:  # runs over a document's border
         inside[max(0, b - least + 1) : b] = False
-    at = (low[inside] & _POSITION).astype(np.int64)
+    at = (low[inside] & position).astype(np.int64)
     mark = np.zeros(n, bool)
     mark[at] = True
     c = np.flatnonzero(mark)
@@ -82,49 +102,311 @@ def common_run(least: int, similarity: float) -> int:
     return max(1, min(least, *(int(np.ceil(x - 1e-9)) for x in most)))
 
 
-def anchor_step(run: int) -> int:
-    """How far the two tokens of an anchor are apart: it has ten words where a run has room for that, or else five."""
-    return SHINGLE if run > 2 * SHINGLE else 0
+def function_values(token: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash function of tokens: a bijection."""
+    return (token ^ (token >> np.uint64(29))) * _FACTORS[k]
+
+
+def packed_place(c: np.ndarray, k: int | np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A centre, function and reach in one whole number, in the order of centres."""
+    return c << 24 | np.asarray(k, np.int64) << 16 | np.minimum(left, REACH) << 8 | np.minimum(right, REACH)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(c, function, l, r) of packed places."""
+    c = place >> 24
+    return c, place >> 16 & 255, c - (place >> 8 & 255), c + (place & 255)
+
+
+def block_windows(token: np.ndarray, number: np.ndarray, least: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, place) of all windows of documents that lie one after the other, `number` tokens each."""
+    begin = np.concatenate([[0], np.cumsum(number)])
+    keys, rows, places = [], [], []
+    for k in range(functions):
+        value = function_values(token, k)
+        c, l, r = compact_windows(value, begin, least)  # noqa: E741
+        row = np.searchsorted(begin, c, "right") - 1
+        keys.append(mix(value[c] + np.uint64(k)))
+        rows.append(row)
+        places.append(packed_place(c - begin[row], k, c - l, r - c))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
+
+
+def _encoded(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Windows as compressed bytes; keys ascend. Bytes of equal weight lie together, as most are alike."""
+    lanes = [np.diff(key, prepend=np.uint64(0)), doc.view(np.uint64), place.view(np.uint64)]
+    raw = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.ravel() for x in lanes])
+    return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _decoded(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, n * 24, codec="zstd", asbytes=True), np.uint8).reshape(3, 8, n)
+    key, doc, place = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw)
+    return np.cumsum(key, dtype=np.uint64), doc.view(np.int64), place.view(np.int64)
+
+
+class _Packer:
+    """A task's windows. Documents with equal words are one, that with the smallest id."""
+
+    def __init__(self, buckets: int):
+        self.shift = np.uint64(64 - (buckets.bit_length() - 1))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[tuple[int, int], int] = {}
+        self.ids: list[int] = []
+        self.text_keys: list[int] = []
+        self.copies: list[tuple[int, int, int, int]] = []
+        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, ids: list[int], text_keys: list[int], signs: list[tuple[int, int]], key: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        number = np.full(len(ids), -1)
+        for i, (doc, text_key, sign) in enumerate(zip(ids, text_keys, signs, strict=True)):
+            at = self.known.get(sign)
+            if at is None:
+                at = self.known[sign] = number[i] = len(self.ids)
+                self.ids.append(doc)
+                self.text_keys.append(text_key)
+            elif doc > self.ids[at]:
+                self.copies.append((doc, text_key, sign[1], at))
+            elif doc < self.ids[at]:
+                self.copies.append((self.ids[at], self.text_keys[at], sign[1], at))
+                self.ids[at], self.text_keys[at] = doc, text_key
+        of = number[row]
+        keep = of >= 0
+        self.windows.append((key[keep], of[keep], place[keep]))
+        self.held += int(keep.sum())
+
+    def flush(self) -> Iterator[dict]:
+        """Rows (bucket, kind, n, data): windows by bucket; links within this task; copies."""
+        ids = np.array(self.ids, np.int64)
+        if self.copies:
+            doc, text_key, n, at = np.array(self.copies, np.int64).T
+            yield from self._row(int(doc[0]), 2, np.stack([doc, text_key, n, ids[at]]))
+        if self.held:
+            key, of, place = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+            doc = ids[of]
+            order = np.lexsort((place, doc, key))
+            key, doc, place = key[order], doc[order], place[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+            if (over := rank >= HELD).any():
+                own = np.flatnonzero(over)
+                head = own - rank[own]
+                for other in (head, own - 1):
+                    far = doc[other] < doc[own]
+                    if far.any():
+                        a, b = own[far], other[far]
+                        yield from self._row(int(doc[a[0]]), 1, np.stack([key[a].view(np.int64), doc[a], place[a], doc[b], place[b]]))
+                key, doc, place = key[~over], doc[~over], place[~over]
+            bucket = (key >> self.shift).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                for a in range(low, high, 1 << 14):
+                    b = min(high, a + (1 << 14))
+                    yield {"bucket": int(bucket[a]), "kind": 0, "n": b - a, "data": _encoded(key[a:b], doc[a:b], place[a:b])}
+        self.clear()
+
+    def _row(self, seed: int, kind: int, values: np.ndarray) -> Iterator[dict]:
+        bucket = int(mix(np.array([seed], np.int64).view(np.uint64))[0] >> self.shift)
+        for a in range(0, values.shape[1], 1 << 14):
+            part = np.ascontiguousarray(values[:, a : a + (1 << 14)])
+            yield {"bucket": bucket, "kind": kind, "n": part.shape[1], "data": part.tobytes()}
+
+
+def packed_windows(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS, functions: int = FUNCTIONS) -> DataFrame:
+    """Rows (bucket, kind, n, data) of docs (doc_id, text_key, text), as _Packer has them. buckets: a power of two."""
+    least = min_words - SHINGLE + 1
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("n", pa.int32()), ("data", pa.binary())])
+
+    def rows(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            yield batches({k: [v] for k, v in x.items()}, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets)
+        for b in rows_of(it):
+            ids, text_keys = column(b, "doc_id").to_numpy(), column(b, "text_key").to_numpy()
+            for first, _, data, offsets in text_blocks(column(b, "text")):
+                w = words(data, offsets)
+                long = np.flatnonzero(w.count >= min_words)
+                if not len(long):
+                    continue
+                begin = np.cumsum(w.count) - w.count
+                within = (np.arange(len(w.hash)) - begin[w.doc]).astype(np.uint64)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash + within * _FACTORS[63]), dtype=np.uint64)])
+                sign = (total[begin + w.count] - total[begin])[long].tolist()
+                token, _, number = shingles(w, SHINGLE)
+                number = np.where(w.count >= min_words, number, 0)
+                token = token[np.repeat(w.count >= min_words, np.where(w.count >= SHINGLE, w.count - SHINGLE + 1, w.count > 0))]
+                key, row, place = block_windows(token, number[long], least, functions)
+                packer.add(ids[first + long].tolist(), text_keys[first + long].tolist(), list(zip(sign, w.count[long].tolist(), strict=True)), key, row, place)
+                if packer.held >= PACKED:
+                    yield from rows(packer.flush())
+        yield from rows(packer.flush())
+        tidy()
+
+    return docs.mapInArrow(run, "bucket int, kind byte, n int, data binary")
+
+
+def meetings(packed: DataFrame) -> DataFrame:
+    """Windows whose minimum several documents have: key, doc_id, place, other_id, other_place (of the smallest
+    document; null in its own rows). Copies have a null key, their text's key as place, and other_place words."""
+    schema = pa.schema([(k, pa.int64()) for k in ("key", "doc_id", "place", "other_id", "other_place")])
+
+    def together(parts: list) -> pa.RecordBatch | None:
+        key, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, doc, key))
+        key, doc, place = key[order], doc[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        several = np.repeat(doc[start] < doc[start + size - 1], size)
+        if not several.any():
+            return None
+        head = np.repeat(start, size)
+        # A document that has the minimum at several places: the first of them goes with the other's first, and so on.
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        run = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+        heads = run[np.searchsorted(np.flatnonzero(fresh), head)]
+        other = head + np.minimum(np.arange(len(key)) - first, heads - 1)
+        own = np.flatnonzero(several)
+        least = doc[own] == doc[head[own]]
+        return batches({"key": key[own].view(np.int64), "doc_id": doc[own], "place": place[own], "other_id": pa.array(doc[other[own]], mask=least), "other_place": pa.array(place[other[own]], mask=least)}, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for b in rows_of(it):
+            each = zip(*(column(b, k).to_pylist() for k in ("bucket", "kind", "n", "data")), strict=True)
+            for now, kind, n, data in each:
+                if now != bucket and parts:
+                    if (out := together(parts)) is not None:
+                        yield out
+                    parts = []
+                bucket = now
+                if kind == 0:
+                    parts.append(_decoded(data, n))
+                    continue
+                x = np.frombuffer(data, np.int64).reshape(-1, n)
+                if kind == 1:
+                    yield batches(dict(zip(schema.names, x, strict=True)), schema)
+                else:
+                    yield batches({"key": pa.nulls(n, pa.int64()), "doc_id": x[0], "place": x[1], "other_id": x[3], "other_place": x[2]}, schema)
+        if parts and (out := together(parts)) is not None:
+            yield out
+        tidy()
+
+    number = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(number, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, doc_id long, place long, other_id long, other_place long")
+
+
+def _joint(place: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Portions (i, j), i before j, of windows of two functions in one group that have a common subsequence of `least`
+    tokens or more. place: ascending in each group, groups one after the other."""
+    c, k, l, r = unpacked(place)  # noqa: E741
+    wide = np.int64(1 << 34)
+    ahead = np.searchsorted(group * wide + c, group * wide + r, "right") - np.arange(len(c)) - 1
+    total, row = np.cumsum(ahead), 0
+    while row < len(c):
+        base = int(total[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(total, base + (1 << 20), "right")))
+        n = ahead[row:end]
+        i = np.repeat(np.arange(row, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        keep = (k[i] != k[j]) & (l[j] <= c[i]) & (np.minimum(r[i], r[j]) - np.maximum(l[i], l[j]) + 1 >= least)
+        yield i[keep], j[keep]
+        row = end
+
+
+def agreeing(place: np.ndarray, other: np.ndarray, group: np.ndarray, least: int, enough: int) -> np.ndarray:
+    """The interval join: which links have `enough` functions in all that agree on a common subsequence on both sides.
+    place, other: windows of links; group: ascending numbers, one for each pair of documents."""
+    _, k, _, _ = unpacked(place)
+    oc, _, ol, orr = unpacked(other)
+    mask = np.uint64(1) << k.astype(np.uint64)
+    own = mask.copy()
+    for i, j in _joint(place, group, least):
+        low, high = np.maximum(ol[i], ol[j]), np.minimum(orr[i], orr[j])
+        same = (low <= np.minimum(oc[i], oc[j])) & (high >= np.maximum(oc[i], oc[j])) & (high - low + 1 >= least)
+        np.bitwise_or.at(mask, i[same], own[j[same]])
+        np.bitwise_or.at(mask, j[same], own[i[same]])
+    return np.bitwise_count(mask) >= enough
+
+
+def _whole_groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of sorted batches, cut only where the first two of them (or the one there is to compare) change."""
+    held: dict[str, np.ndarray] = {}
+    for b in it:
+        if not b.num_rows:
+            continue
+        now = {k: column(b, k).to_numpy(zero_copy_only=False) for k in names}
+        held = {k: np.concatenate([held[k], v]) for k, v in now.items()} if held else now
+        if len(held[names[0]]) < 1 << 16:
+            continue
+        last = np.flatnonzero((held[names[0]] != held[names[0]][-1]) | (held[names[1]] != held[names[1]][-1]))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield {k: v[:cut] for k, v in held.items()}
+            held = {k: v[cut:] for k, v in held.items()}
+    if held:
+        yield held
+
+
+def candidates(links: DataFrame, min_words: int = MIN_WORDS, enough: int = ENOUGH) -> DataFrame:
+    """Pairs (doc_id, other_id) of links that `enough` functions agree on."""
+    least, schema = min_words - SHINGLE + 1, pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64())])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_groups(it, ["doc_id", "other_id", "place", "other_place"]):
+            fresh = np.concatenate([[True], (x["doc_id"][1:] != x["doc_id"][:-1]) | (x["other_id"][1:] != x["other_id"][:-1])])
+            group = np.cumsum(fresh) - 1
+            found = np.unique(group[agreeing(x["place"], x["other_place"], group, least, enough)])
+            at = np.flatnonzero(fresh)[found]
+            yield batches({"doc_id": x["doc_id"][at], "other_id": x["other_id"][at]}, schema)
+        tidy()
+
+    rows = links.select("doc_id", "other_id", "place", "other_place")
+    return rows.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "place").mapInArrow(run, "doc_id long, other_id long")
 
-def document_anchors(text: pa.Array, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, row, place among the row's tokens, hash of the words before, of those after, whether it has these)."""
-    run = common_run(min_words - SHINGLE + 1, similarity)
-    step = anchor_step(run)
-    number_in_run = run - step
-    side = number_in_run // 2
-    for first, _, data, offsets in text_blocks(text):
-        token, owner, number = shingles(words(data, offsets), SHINGLE)
-        begin = np.concatenate([[0], np.cumsum(number)])
 
-        def at(c: np.ndarray, k: int, token: np.ndarray = token) -> np.ndarray:
-            return token[np.clip(c + k, 0, max(0, len(token) - 1))]
+def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Signatures of two functions: (sign, doc_id, open) of windows (key, doc_id, place, open), for every two windows
+    of a document with a common subsequence; open where one of them is."""
+    least, schema = min_words - SHINGLE + 1, pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("open", pa.bool_())])
 
-        place = np.arange(len(token))
-        value = mix(token ^ mix(at(place, step) + np.uint64(1)))
-        # Anchors that reach over a document's end aren't wanted: a document has `step` fewer of them than tokens.
-        whole = place + step < begin[owner + 1]
-        value, place, owner = value[whole], place[whole], owner[whole]
-        fewer = np.maximum(number - step, 0)
-        c, _, _ = compact_windows(value, np.concatenate([[0], np.cumsum(fewer)]), number_in_run)
-        key, row, c = value[c], owner[c], place[c]
-        before = mix(at(c, -side) ^ mix(at(c, -min(side, SHINGLE))))
-        after = mix(at(c, step + side) ^ mix(at(c, step + min(side, SHINGLE))))
-        yield key, row + first, c - begin[row], before, after, c - side >= begin[row], c + step + side < begin[row + 1]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_groups(it, ["doc_id", "doc_id", "place", "key", "open"]):
+            group = np.cumsum(np.concatenate([[False], x["doc_id"][1:] != x["doc_id"][:-1]]))
+            key, k = x["key"].view(np.uint64), unpacked(x["place"])[1]
+            for i, j in _joint(x["place"], group, least):
+                low, high = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
+                yield batches({"sign": mix(key[low] + mix(key[high])).view(np.int64), "doc_id": x["doc_id"][i], "open": x["open"][i] | x["open"][j]}, schema)
+        tidy()
 
+    return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, open boolean")
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, doc_id, at, before, after) of docs (doc_id, text)."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
+
+def sharper_links(signs: DataFrame) -> DataFrame:
+    """(doc_id, other_id): documents with an open signature, and the smallest and the preceding document that has it.
+    A signature whose rows reach over several tasks starts anew in each of them, beginning with its smallest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = first = last = None
         for b in rows_of(it):
-            ids = column(b, "doc_id").to_numpy()
-            for key, row, at, before, after, has_before, has_after in document_anchors(column(b, "text"), min_words, similarity):
-                sides = {"before": pa.array(before.astype(np.uint32).view(np.int32), mask=~has_before), "after": pa.array(after.astype(np.uint32).view(np.int32), mask=~has_after)}
-                yield batches({"key": key.view(np.int64), "doc_id": ids[row], "at": at.astype(np.int32), **sides}, schema)
+            s, d, o = (column(b, k).to_numpy(zero_copy_only=False) for k in ("sign", "doc_id", "open"))
+            fresh = np.concatenate([[s[0] != sign], s[1:] != s[:-1]])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
+            least = np.where(head < 0, d[0] if first is None else first, d[head])
+            before = np.concatenate([[d[0] if last is None or fresh[0] else last], d[:-1]])
+            before = np.where(fresh, d, before)
+            for other in (least, before):
+                keep = o & (other < d)
+                yield batches({"doc_id": d[keep], "other_id": other[keep]}, schema)
+            sign, first, last = s[-1], least[-1], d[-1]
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int, before int, after int")
+    return signs.repartitionByRange("sign", "doc_id").sortWithinPartitions("sign", "doc_id").mapInArrow(run, "doc_id long, other_id long")
 
 
 def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -268,11 +550,13 @@ def verified(pairs: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("first_start_word", pa.int64()), ("similarity", pa.float64())])
 
     def tokens(text: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, _, data, offsets in text_blocks(text):
+        """The tokens of each text; equal texts' are made once."""
+        kinds = text.dictionary_encode()
+        out: list[np.ndarray] = []
+        for _, _, data, offsets in text_blocks(kinds.dictionary):
             v, _, n = shingles(words(data, offsets), SHINGLE)
             out += np.split(v, np.cumsum(n)[:-1])
-        return out
+        return [out[k] for k in kinds.indices.to_pylist()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows_of(it):
@@ -285,100 +569,111 @@ def verified(pairs: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
                         for name, x in zip(out, (doc, text_key, start, length + SHINGLE - 1, first, at, same), strict=True):
                             out[name].append(x)
                 yield batches(out, schema)
+        tidy()
 
     kinds = "doc_id long, text_key long, start_word long, n_words long, first_doc_id long, first_start_word long, similarity double"
     return pairs.select("doc_id", "text_key", "text", "other_id", "other_text").mapInArrow(run, kinds)
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
     """Passages that a document with a smaller id has as well: doc_id, text_key (xxhash64 of the text), start_word,
     n_words, first_doc_id, first_start_word, similarity (Jaccard, of five-word tokens).
 
     A passage has at least min_words words in both. Words are as in bytetext; passages repeated within one document
-    don't count, nor do rows without an id; null texts have no passages. Rows with equal ids are one document of
-    several texts. Documents without such passages have no rows.
-
-    Anchors are compared with the first document that has their context, in rounds: those that no passage covers then
-    are compared with the first of what is left, and when rounds settle few, with all holders of the context."""
+    don't count, nor do rows without an id; null and empty texts have no passages. Rows with equal ids are one document
+    of several texts; equal rows count once. Documents without such passages, and empty tables, have no rows. A span
+    that lies within another one of the text is left out; of equal spans the one with the smallest first_doc_id stays.
+
+    first_doc_id is the smallest document that the span was compared with: the smallest of all that share a minimum,
+    unless one task meets more than HELD of these. Such a task links what it has beyond them to its own smallest and to
+    the preceding one, so a hot minimum sends on HELD rows a task; and of documents with equal words only the smallest
+    one of a task takes part, the others being spans as a whole."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    size = input_bytes(docs)
+    buckets = 1 << max(1, min(24, (size // BUCKET_BYTES).bit_length())) if size < 1 << 50 else UNKNOWN_BUCKETS
+    met, met_path = materialise(meetings(packed_windows(rows, buckets, min_words, functions)), "meetings")
+    copies, met = met.where("key is null"), met.where("key is not null")
+
+    def check(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+        involved = MemberFilter.build(pairs.select(F.explode(F.array("doc_id", "other_id")).alias("doc_id")).distinct(), "doc_id")
+        texts, texts_path = materialise(rows.where(involved.perhaps(F.col("doc_id"))).dropDuplicates(["doc_id", "text_key"]), "texts")
+        other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
+        out = materialise(verified(pairs.join(texts, "doc_id").join(other, "other_id"), min_words, similarity), name)
+        discard(spark, texts_path)
+        return out
 
-    run = common_run(min_words - SHINGLE + 1, similarity)
-    width = SHINGLE + anchor_step(run)
-
-    def several(table: DataFrame) -> DataFrame:
-        return table.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("most")).where("other_id < most").select("key", "other_id")
+    pairs, pairs_path = materialise(candidates(met.where("other_id is not null"), min_words, enough), "pairs")
+    found, found_path = check(pairs, "passages")
+
+    cover = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
+    at = F.shiftright("place", 24)
+    covered = F.coalesce(F.exists("cover", lambda p: (p.start_word <= at) & (at + SHINGLE <= p.start_word + p.n_words)), F.lit(False))
+    state = met.join(cover, "doc_id", "left").select("key", "doc_id", "place", (F.col("other_id").isNotNull() & ~covered).alias("open"))
+    state, state_path = materialise(state.distinct(), "state")
+    signs, signs_path = materialise(sharper(state.join(state.where("open").select("key").distinct(), "key", "left_semi"), min_words), "signs")
+    again = sharper_links(signs).distinct().join(pairs, ["doc_id", "other_id"], "left_anti")
+    again, again_path = materialise(again, "again")
+    more, more_path = check(again, "more")
+    for path in (pairs_path, state_path, signs_path, again_path):
+        discard(spark, path)
 
-    def check(linked: DataFrame) -> DataFrame:
-        """The passages of linked (doc_id, other_id)."""
-        pairs, path = materialise(linked.distinct(), "pairs")
-        involved = MemberFilter.build(pairs.select("doc_id").unionByName(pairs.select(F.col("other_id").alias("doc_id"))).distinct(), "doc_id")
-        texts = rows.where(involved.perhaps(F.col("doc_id")))
-        own = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).distinct()
-        other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).distinct()
-        out, _ = materialise(verified(pairs.join(own, "doc_id").join(other, "other_id"), min_words, similarity).distinct(), "passages")
+    kinds = found.schema
+    whole = copies.select("doc_id", F.col("place").alias("text_key"), F.lit(0).cast("long").alias("start_word"), F.col("other_place").alias("n_words"), F.col("other_id").alias("first_doc_id"), F.lit(0).cast("long").alias("first_start_word"), F.lit(1.0).alias("similarity"))
+    # A copy's original may be a copy of a document of another task, or be found in one as a whole.
+    full = found.unionByName(more).where("start_word = 0").groupBy(F.col("doc_id").alias("first_doc_id"), F.col("n_words")).agg(F.min_by(F.struct("first_doc_id", "first_start_word", "similarity"), "first_doc_id").alias("__at"))
+    whole = whole.join(full, ["first_doc_id", "n_words"], "left").select(
+        "doc_id", "text_key", "start_word", "n_words", *[F.coalesce(F.col(f"__at.{k}"), F.col(k)).alias(k) for k in ("first_doc_id", "first_start_word", "similarity")]
+    )
+    every = found.unionByName(more).unionByName(whole.select(*kinds.names))
+    out, _ = materialise(outermost(every), "spans")
+    for path in (met_path, found_path, more_path):
         discard(spark, path)
-        return out
+    return out
 
-    found, found_path = materialise(windows(rows, min_words, similarity), "windows")
-    shared, shared_path = materialise(several(found), "minima")
-    again = MemberFilter.build(shared, "key")
-    sides = F.array(F.when(F.col("before").isNotNull(), F.xxhash64(F.lit(0), "key", "before")), F.when(F.col("after").isNotNull(), F.xxhash64(F.lit(1), "key", "after")))
-    meeting = found.where(again.perhaps(F.col("key"))).join(shared, "key", "left_semi").select("doc_id", "at", F.explode(sides).alias("key")).where("key is not null")
-    meeting, meeting_path = materialise(meeting, "contexts")
-    discard(spark, found_path)
-    discard(spark, shared_path)
-    held, _ = materialise(meeting.join(several(meeting), "key", "left_semi"), "held")
-    discard(spark, meeting_path)
-
-    sizes, _ = materialise(held.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("least")), "sizes")
-    left, result, every = held.withColumn("fresh", F.lit(True)), None, False
-    number = rows_held = held.count()
-    while number:
-        if every:
-            linked = left.join(held.select("key", F.col("doc_id").alias("other_id")).distinct(), "key").where("doc_id > other_id")
-        else:
-            heads, _ = materialise(several(left.where("fresh")), "heads")
-            linked = left.join(heads, "key").where("doc_id > other_id")
-        now = check(linked.select("doc_id", "other_id"))
-        result = now if result is None else result.unionByName(now)
-        if every:
-            break
-        cover = now.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
-        inside = F.exists("cover", lambda p: (p.start_word <= F.col("at")) & (F.col("at") + width <= p.start_word + p.n_words))
-        rest = left.join(cover, "doc_id", "left").where(F.col("cover").isNull() | ~inside).join(heads, "key", "left")
-        rest = rest.select("key", "doc_id", "at", (F.col("fresh") & (F.col("doc_id") > F.coalesce("other_id", "doc_id"))).alias("fresh"))
-        # The document with a group's smallest id has nothing to be compared with.
-        left, _ = materialise(rest.join(sizes, "key").where("doc_id > least").select("key", "doc_id", "at", "fresh"), "left")
-        before, number = number, left.count()
-        cost = left.groupBy("key").agg(F.count("*").alias("n")).join(sizes, "key").agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
-        every = number > 0.9 * before or cost <= 2 * rows_held
-    if result is None:
-        return verified(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).limit(0), min_words, similarity)
-    return result.distinct()
+
+def outermost(found: DataFrame) -> DataFrame:
+    """Rows of spans() without those inside another span of their text."""
+    names = found.columns
+    rest = [k for k in names if k not in ("doc_id", "text_key")]
+    lists = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*rest)).alias("s"))
+
+    @arrow_udf("array<int>")
+    def outer(lists: pa.Array) -> pa.Array:
+        out = []
+        for spans_ in lists.to_pylist():
+            order = sorted(range(len(spans_)), key=lambda i: (spans_[i]["start_word"], -spans_[i]["n_words"], spans_[i]["first_doc_id"], spans_[i]["first_start_word"]))
+            keep, reach = [], -1
+            for i in order:
+                end = spans_[i]["start_word"] + spans_[i]["n_words"]
+                if end > reach:
+                    keep.append(i)
+                    reach = end
+            out.append(keep)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    kept = lists.withColumn("i", outer("s")).select("doc_id", "text_key", F.explode("i").alias("i"), "s").select("doc_id", "text_key", F.element_at("s", F.col("i") + 1).alias("s"))
+    return kept.select("doc_id", "text_key", "s.*").select(*names)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the passages of spans() cut from their texts, so that each stays in the document with the smallest id;
     count_col, if docs has it, is the new number of code points of a text that was cut. No row is dropped; a text that
-    is nothing but repeats becomes empty or white space."""
+    is nothing but repeats becomes empty or white space. Null texts, rows without an id and empty tables stay as they
+    are, repeated rows are cut alike, and the names of other columns don't matter."""
     found, _ = materialise(spans(docs, id_col, text_col, min_words, similarity).select("doc_id", "text_key", F.struct("start_word", "n_words").alias("s")).distinct(), "repeats")
-    key = F.xxhash64(F.col(text_col).cast("string"))
     perhaps = MemberFilter.build(found.select("doc_id"), "doc_id").perhaps(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
-    marked = docs.withColumn("__perhaps", perhaps)
-    lists = found.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("__spans")).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    joined = marked.where("__perhaps").join(lists, (F.col(id_col).cast("long") == F.col("__id")) & (key == F.col("__key")), "left").drop("__id", "__key")
-
-    from pyspark.sql.functions import arrow_udf
+    marked = docs.select(F.struct(*docs.columns).alias("row"), perhaps.alias("perhaps"))
+    text = F.col("row").getField(text_col)
+    some = marked.where("perhaps").select("row", F.col("row").getField(id_col).cast("long").alias("id"), F.xxhash64(text.cast("string")).alias("key"))
+    lists = found.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("spans")).withColumnsRenamed({"doc_id": "id", "text_key": "key"})
 
     @arrow_udf("string")
     def cut(text: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for value, spans_ in zip(text.to_pylist(), lists.to_pylist(), strict=True):
-            if value is None or not spans_:
-                out.append(value)
-                continue
             data = np.frombuffer(value.encode(), np.uint8)
             w = words(data, np.array([0, len(data)]), hashed=False)
             keep = np.ones(len(data), bool)
@@ -387,8 +682,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(data[keep].tobytes().decode())
         return pa.array(out, pa.string())
 
-    changed = joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans")))
+    joined = some.join(lists, ["id", "key"], "left")
+    changed = joined.where("spans is not null").select("row", cut(text.cast("string"), F.col("spans")).alias("cut"))
+    new = F.col("row").withField(f"`{text_col}`", F.col("cut"))
     if count_col in docs.columns:
-        kind = docs.schema[count_col].dataType
-        changed = changed.withColumn(count_col, F.when(F.size("__spans") > 0, F.length(text_col).cast(kind)).otherwise(F.col(count_col)))
-    return marked.where("not __perhaps").select(*docs.columns).unionByName(changed.select(*docs.columns))
+        new = new.withField(f"`{count_col}`", F.length("cut").cast(docs.schema[count_col].dataType))
+    whole = marked.where("not perhaps").select("row").unionByName(joined.where("spans is null").select("row")).unionByName(changed.select(new.alias("row")))
+    return whole.select([F.col("row").getField(k).alias(k) for k in docs.columns])
