@@ -10,7 +10,9 @@ Jaccard similarity s have equal minima for each function with probability s.
 2. The windows that two documents are linked by are joined as intervals: a pair is a candidate where ENOUGH functions
    agree on a common subsequence in both.
 3. Candidates' tokens are aligned, which gives exact passages and similarities.
-4. Windows that no passage covers were linked to a document that shares something else, such as a frequent line. They
+   Each document is compared with the one that most of its windows are linked to, then with the others that windows
+   which no passage covers yet are linked to.
+4. Windows that are still not covered were linked to a document that shares something else, such as a frequent line. They
    meet again by sharper signatures, the minima of two functions over one subsequence, and are linked to the smallest
    and to the preceding document there. What they find is aligned as well.
 """
@@ -33,7 +35,7 @@ SHINGLE = 5
 #: Shortest passage, in words, and least Jaccard similarity of its tokens.
 MIN_WORDS, SIMILARITY = 50, 0.8
 #: Hash functions, and how many must agree on a common subsequence.
-FUNCTIONS, ENOUGH = 6, 2
+FUNCTIONS, ENOUGH = 8, 3
 #: Holders of a minimum that a task sends on; it links what it has beyond them among itself.
 HELD = 64
 #: Windows that a task packs together, and bytes of input for each bucket of minima.
@@ -59,12 +61,11 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
         return (np.zeros(0, np.int64),) * 3
     position = np.uint64((1 << max(24, n.bit_length())) - 1)
     order = (value & ~position) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = order
-    block = padded.reshape(-1, least)
-    left = np.minimum.accumulate(block, axis=1).ravel()
-    right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(right[: n - least + 1], left[least - 1 : n])
+    low, width = order, 1
+    while 2 * width <= least:
+        low, width = np.minimum(low[: len(low) - width], low[width:]), 2 * width
+    if width < least:
+        low = np.minimum(low[: len(low) - (least - width)], low[least - width :])
     inside = np.ones(n - least + 1, bool)
     for b in begin[1:-1]:  # runs over a document's border
         inside[max(0, b - least + 1) : b] = False
@@ -78,11 +79,8 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
     before[(before >= 0) & (doc[before] != doc)] = -1
     after[(after < m) & (doc[np.minimum(after, m - 1)] != doc)] = m
     for pointer, end in ((before, -1), (after, m)):
-        while True:
-            on = np.flatnonzero(pointer != end)
-            on = on[v[pointer[on]] > v[on]]
-            if not len(on):
-                break
+        on = np.arange(m)
+        while len(on := on[pointer[on] != end]) and len(on := on[v[pointer[on]] > v[on]]):
             pointer[on] = pointer[pointer[on]]
     l = np.where(before >= 0, c[before] + 1, begin[doc])  # noqa: E741
     r = np.where(after < m, c[np.minimum(after, m - 1)], begin[doc + 1]) - 1
@@ -118,14 +116,26 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return c, place >> 16 & 255, c - (place >> 8 & 255), c + (place & 255)
 
 
+def _ends_of_repeats(value: np.ndarray, row: np.ndarray, c: np.ndarray, near: int) -> np.ndarray:
+    """Which windows to keep of those whose minimum is repeated in its document at distances of at most `near`, as in
+    lines that follow one another: the first and the last of such a series, which stand for what is between them."""
+    order = np.lexsort((c, value, row))
+    same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]]) & (np.diff(c[order]) <= near)
+    keep = np.ones(len(c), bool)
+    keep[order[1:-1][same[1:] & same[:-1]]] = False
+    return keep
+
+
 def block_windows(token: np.ndarray, number: np.ndarray, least: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, place) of all windows of documents that lie one after the other, `number` tokens each."""
+    """(key, row, place) of the windows of documents that lie one after the other, `number` tokens each."""
     begin = np.concatenate([[0], np.cumsum(number)])
     keys, rows, places = [], [], []
     for k in range(functions):
         value = function_values(token, k)
         c, l, r = compact_windows(value, begin, least)  # noqa: E741
         row = np.searchsorted(begin, c, "right") - 1
+        keep = _ends_of_repeats(value[c], row, c, least // 2)
+        c, l, r, row = c[keep], l[keep], r[keep], row[keep]  # noqa: E741
         keys.append(mix(value[c] + np.uint64(k)))
         rows.append(row)
         places.append(packed_place(c - begin[row], k, c - l, r - c))
@@ -354,59 +364,66 @@ def _whole_groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
 
 
 def candidates(links: DataFrame, min_words: int = MIN_WORDS, enough: int = ENOUGH) -> DataFrame:
-    """Pairs (doc_id, other_id) of links that `enough` functions agree on."""
-    least, schema = min_words - SHINGLE + 1, pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64())])
+    """Pairs (doc_id, other_id, n) with n links that `enough` functions agree on."""
+    least, schema = min_words - SHINGLE + 1, pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_groups(it, ["doc_id", "other_id", "place", "other_place"]):
             fresh = np.concatenate([[True], (x["doc_id"][1:] != x["doc_id"][:-1]) | (x["other_id"][1:] != x["other_id"][:-1])])
             group = np.cumsum(fresh) - 1
-            found = np.unique(group[agreeing(x["place"], x["other_place"], group, least, enough)])
+            found, n = np.unique(group[agreeing(x["place"], x["other_place"], group, least, enough)], return_counts=True)
             at = np.flatnonzero(fresh)[found]
-            yield batches({"doc_id": x["doc_id"][at], "other_id": x["other_id"][at]}, schema)
+            yield batches({"doc_id": x["doc_id"][at], "other_id": x["other_id"][at], "n": n}, schema)
         tidy()
 
     rows = links.select("doc_id", "other_id", "place", "other_place")
-    return rows.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "place").mapInArrow(run, "doc_id long, other_id long")
+    return rows.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "place").mapInArrow(run, "doc_id long, other_id long, n long")
 
 
 def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Signatures of two functions: (sign, doc_id, open) of windows (key, doc_id, place, open), for every two windows
-    of a document with a common subsequence; open where one of them is."""
-    least, schema = min_words - SHINGLE + 1, pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("open", pa.bool_())])
+    """Signatures of two functions: (sign, doc_id, place, place2, open) of windows (key, doc_id, place, open), for
+    every two windows of a document with a common subsequence; open where one of them is."""
+    least = min_words - SHINGLE + 1
+    schema = pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("open", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_groups(it, ["doc_id", "doc_id", "place", "key", "open"]):
             group = np.cumsum(np.concatenate([[False], x["doc_id"][1:] != x["doc_id"][:-1]]))
-            key, k = x["key"].view(np.uint64), unpacked(x["place"])[1]
-            for i, j in _joint(x["place"], group, least):
+            key, place = x["key"].view(np.uint64), x["place"]
+            k = unpacked(place)[1]
+            for i, j in _joint(place, group, least):
                 low, high = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
-                yield batches({"sign": mix(key[low] + mix(key[high])).view(np.int64), "doc_id": x["doc_id"][i], "open": x["open"][i] | x["open"][j]}, schema)
+                sign = mix(key[low] + mix(key[high])).view(np.int64)
+                yield batches({"sign": sign, "doc_id": x["doc_id"][i], "place": place[low], "place2": place[high], "open": x["open"][i] | x["open"][j]}, schema)
         tidy()
 
-    return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, open boolean")
+    return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, place long, place2 long, open boolean")
 
 
 def sharper_links(signs: DataFrame) -> DataFrame:
-    """(doc_id, other_id): documents with an open signature, and the smallest and the preceding document that has it.
-    A signature whose rows reach over several tasks starts anew in each of them, beginning with its smallest."""
-    schema = pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64())])
+    """(doc_id, other_id, place, other_place): the windows of documents with an open signature, with those of the
+    smallest and of the preceding document that has it. A signature whose rows reach over several tasks starts anew in
+    each of them, beginning with its smallest."""
+    schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "other_id", "place", "other_place")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = first = last = None
+        sign, first, last = None, None, None
         for b in rows_of(it):
-            s, d, o = (column(b, k).to_numpy(zero_copy_only=False) for k in ("sign", "doc_id", "open"))
-            fresh = np.concatenate([[s[0] != sign], s[1:] != s[:-1]])
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
-            least = np.where(head < 0, d[0] if first is None else first, d[head])
-            before = np.concatenate([[d[0] if last is None or fresh[0] else last], d[:-1]])
-            before = np.where(fresh, d, before)
-            for other in (least, before):
-                keep = o & (other < d)
-                yield batches({"doc_id": d[keep], "other_id": other[keep]}, schema)
-            sign, first, last = s[-1], least[-1], d[-1]
-
-    return signs.repartitionByRange("sign", "doc_id").sortWithinPartitions("sign", "doc_id").mapInArrow(run, "doc_id long, other_id long")
+            s, d, p, q, o = (column(b, k).to_numpy(zero_copy_only=False) for k in ("sign", "doc_id", "place", "place2", "open"))
+            rows = np.stack([d, p, q])
+            if sign is not None:  # the smallest and the last row of the batch before go ahead
+                s, o = np.concatenate([[sign, sign], s]), np.concatenate([[False, False], o])
+                rows = np.concatenate([first[:, None], last[:, None], rows], axis=1)
+            fresh = np.concatenate([[True], s[1:] != s[:-1]])
+            at = np.arange(len(s))
+            head = np.maximum.accumulate(np.where(fresh, at, 0))
+            for other in (head, np.maximum(at - 1, 0)):
+                keep = np.flatnonzero(o & (s[other] == s) & (rows[0, other] < rows[0]))
+                for k in (1, 2):
+                    yield batches({"doc_id": rows[0, keep], "other_id": rows[0, other[keep]], "place": rows[k, keep], "other_place": rows[k, other[keep]]}, schema)
+            sign, first, last = s[-1], rows[:, head[-1]], rows[:, -1]
+
+    return signs.repartitionByRange("sign", "doc_id").sortWithinPartitions("sign", "doc_id").mapInArrow(run, "doc_id long, other_id long, place long, other_place long")
 
 
 def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -501,6 +518,14 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
 
     Each stretch of equal tokens is a seed with a place in both; the tokens around it are matched with their occurrence
     nearest to that place, so what the texts repeat elsewhere doesn't matter. Seeds in what is covered add nothing."""
+    if len(own) < least:
+        return []
+    # Of a passage's tokens similarity * least or more are common, so some stretch of `least` tokens has four fifths of that.
+    value = np.sort(other)
+    known = value[np.minimum(np.searchsorted(value, own), len(value) - 1)] == own if len(value) else np.zeros(len(own), bool)
+    has = np.concatenate([[0], np.cumsum(known)])
+    if (has[least:] - has[:-least]).max() < 0.8 * similarity * least:
+        return []
     seeds = _seeds(own, other, common_run(least, similarity))
     # Seeds that are passages by themselves: few that cover the same, by taking the one that reaches furthest.
     queue, best, reach = [], None, -1
@@ -514,9 +539,12 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
     # The others need similarity * least tokens around them that the other text has at all.
     short = seeds[seeds[:, 2] < least]
     if len(short):
-        has = np.concatenate([[0], np.cumsum(np.isin(own, other))])
         enough = has[np.minimum(short[:, 0] + short[:, 2] + least, len(own))] - has[np.maximum(short[:, 0] - least, 0)] >= similarity * least
         queue += map(tuple, short[enough].tolist())
+    if not queue:
+        return []
+    kinds, number = np.unique(np.concatenate([own, other]), return_inverse=True)
+    mark, own_kind, other_kind = np.zeros(len(kinds), bool), number[: len(own)], number[len(own) :]
     out: list[tuple[int, int, int, float]] = []
     covered, failed = np.zeros(len(own), bool), set()
     for i, j, n in queue:
@@ -530,9 +558,11 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
             seen = part.tobytes(), around.tobytes(), i - low, j - other_low
             if seen in failed:
                 break
-            match = _nearest(part, around, j - other_low - (i - low))
-            able = np.count_nonzero(match >= 0) >= similarity * least
-            got = [(s + low, length, at + other_low, same) for s, length, at, same in (passages(match, least, similarity) if able else []) if s + low < i + n and i < s + low + length]
+            mark[other_kind[other_low:other_high]] = True
+            able = np.count_nonzero(mark[own_kind[low:high]]) >= similarity * least
+            mark[other_kind[other_low:other_high]] = False
+            tried = passages(_nearest(part, around, j - other_low - (i - low)), least, similarity) if able else []
+            got = [(s + low, length, at + other_low, same) for s, length, at, same in tried if s + low < i + n and i < s + low + length]
             if not got:
                 failed.add(seen)
             if all((s > low or not low) and (s + length < high or high == len(own)) for s, length, _, _ in got):
@@ -597,39 +627,54 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     met, met_path = materialise(meetings(packed_windows(rows, buckets, min_words, functions)), "meetings")
     copies, met = met.where("key is null"), met.where("key is not null")
 
-    def check(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
-        involved = MemberFilter.build(pairs.select(F.explode(F.array("doc_id", "other_id")).alias("doc_id")).distinct(), "doc_id")
-        texts, texts_path = materialise(rows.where(involved.perhaps(F.col("doc_id"))).dropDuplicates(["doc_id", "text_key"]), "texts")
-        other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-        out = materialise(verified(pairs.join(texts, "doc_id").join(other, "other_id"), min_words, similarity), name)
-        discard(spark, texts_path)
+    repeated, repeated_path = materialise(rows.groupBy("doc_id", "text_key").count().where("count > 1"), "repeated")
+    if not repeated.isEmpty():  # else a row is paired as often as it is there
+        again = MemberFilter.build(repeated.select("doc_id"), "doc_id").perhaps(F.col("doc_id"))
+        rows = rows.withColumn("again", again)
+        rows = rows.where("not again").unionByName(rows.where("again").dropDuplicates(["doc_id", "text_key"])).drop("again")
+    paths = [met_path, repeated_path]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise(df, name)
+        paths.append(path)
         return out
 
-    pairs, pairs_path = materialise(candidates(met.where("other_id is not null"), min_words, enough), "pairs")
-    found, found_path = check(pairs, "passages")
-
-    cover = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
-    at = F.shiftright("place", 24)
-    covered = F.coalesce(F.exists("cover", lambda p: (p.start_word <= at) & (at + SHINGLE <= p.start_word + p.n_words)), F.lit(False))
-    state = met.join(cover, "doc_id", "left").select("key", "doc_id", "place", (F.col("other_id").isNotNull() & ~covered).alias("open"))
-    state, state_path = materialise(state.distinct(), "state")
-    signs, signs_path = materialise(sharper(state.join(state.where("open").select("key").distinct(), "key", "left_semi"), min_words), "signs")
-    again = sharper_links(signs).distinct().join(pairs, ["doc_id", "other_id"], "left_anti")
-    again, again_path = materialise(again, "again")
-    more, more_path = check(again, "more")
-    for path in (pairs_path, state_path, signs_path, again_path):
-        discard(spark, path)
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        own, other = (MemberFilter.build(pairs.select(k), k).perhaps(F.col("doc_id")) for k in ("doc_id", "other_id"))
+        others = rows.where(other).select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
+        return kept(verified(pairs.select("doc_id", "other_id").join(rows.where(own), "doc_id").join(others, "other_id"), min_words, similarity), name)
+
+    def still_open(windows: DataFrame, found: DataFrame) -> DataFrame:
+        """windows with `open`: whether they are linked and no passage covers their centre."""
+        cover = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
+        at = F.shiftright("place", 24)
+        covered = F.exists("cover", lambda p: (p.start_word <= at) & (at + SHINGLE <= p.start_word + p.n_words))
+        return windows.join(cover, "doc_id", "left").withColumn("open", F.col("other_id").isNotNull() & ~F.coalesce(covered, F.lit(False))).drop("cover")
+
+    # First with the document that most windows are linked to, as what it covers needn't be compared with others.
+    every = kept(candidates(met.where("other_id is not null"), min_words, enough), "pairs")
+    best = kept(every.groupBy("doc_id").agg(F.max_by("other_id", F.struct("n", -F.col("other_id"))).alias("other_id")), "best")
+    found = check(best, "passages")
+    state = kept(still_open(met, found), "state")
+    second = kept(candidates(state.where("open"), min_words, enough).join(best, ["doc_id", "other_id"], "left_anti"), "second")
+    found = found.unionByName(check(second, "passages"))
+
+    state = kept(still_open(state.drop("open"), found), "state")
+    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", "open").distinct()
+    signs = kept(sharper(pool, min_words), "signs")
+    third = candidates(sharper_links(signs), min_words, enough)
+    third = kept(third.join(best.unionByName(second.select(*best.columns)), ["doc_id", "other_id"], "left_anti"), "third")
+    found = found.unionByName(check(third, "passages"))
 
     kinds = found.schema
     whole = copies.select("doc_id", F.col("place").alias("text_key"), F.lit(0).cast("long").alias("start_word"), F.col("other_place").alias("n_words"), F.col("other_id").alias("first_doc_id"), F.lit(0).cast("long").alias("first_start_word"), F.lit(1.0).alias("similarity"))
     # A copy's original may be a copy of a document of another task, or be found in one as a whole.
-    full = found.unionByName(more).where("start_word = 0").groupBy(F.col("doc_id").alias("first_doc_id"), F.col("n_words")).agg(F.min_by(F.struct("first_doc_id", "first_start_word", "similarity"), "first_doc_id").alias("__at"))
+    full = found.where("start_word = 0").groupBy(F.col("doc_id").alias("first_doc_id"), F.col("n_words")).agg(F.min_by(F.struct("first_doc_id", "first_start_word", "similarity"), "first_doc_id").alias("__at"))
     whole = whole.join(full, ["first_doc_id", "n_words"], "left").select(
         "doc_id", "text_key", "start_word", "n_words", *[F.coalesce(F.col(f"__at.{k}"), F.col(k)).alias(k) for k in ("first_doc_id", "first_start_word", "similarity")]
     )
-    every = found.unionByName(more).unionByName(whole.select(*kinds.names))
-    out, _ = materialise(outermost(every), "spans")
-    for path in (met_path, found_path, more_path):
+    out, _ = materialise(outermost(found.unionByName(whole.select(*kinds.names))), "spans")
+    for path in paths:
         discard(spark, path)
     return out
 
