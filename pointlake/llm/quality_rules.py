@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from pointlake.llm.bytetext import words
-from pointlake.llm.common import batches, column, least_hashed, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, least_hashed, materialise, rows_of, text_blocks, tidy, tune
 
 #: Labelled rows that the rules are fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 8192
@@ -104,6 +105,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in rows_of(it):
             values = statistics_arrays(column(b, "text"))
             yield batches({"doc_id": column(b, "doc_id"), **{k: values[:, j] for j, k in enumerate(STATISTICS)}}, schema)
+        tidy()
 
     kinds = ", ".join(["doc_id long", *[f"{k} double" for k in STATISTICS]])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
@@ -122,10 +124,11 @@ class Rule:
             out &= (x[:, j] > threshold) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = F.lit(True)
         for j, above, threshold in self.conditions:
-            out = out & ((F.col(STATISTICS[j]) > F.lit(threshold)) if above else (F.col(STATISTICS[j]) <= F.lit(threshold)))
+            value = F.col(prefix + STATISTICS[j])
+            out = out & ((value > F.lit(threshold)) if above else (value <= F.lit(threshold)))
         return out
 
 
@@ -137,11 +140,11 @@ class RuleModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.intercept + sum((r.weight * r.holds(x) for r in self.rules), np.zeros(len(x))))
 
-    def column(self) -> Column:
-        """The score as an expression over the statistics."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as an expression over the statistics, columns whose names begin with `prefix`."""
         total = F.lit(float(self.intercept))
         for r in self.rules:
-            total = total + F.when(r.column(), F.lit(float(r.weight))).otherwise(F.lit(0.0))
+            total = total + F.when(r.column(prefix), F.lit(float(r.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -233,13 +236,15 @@ def _norm(a: np.ndarray) -> float:
 
 
 def fit_arrays(x: np.ndarray, y: np.ndarray) -> RuleModel:
-    """With no rows every score is 1 (nothing speaks against a text), with one class alone a smoothed rate."""
-    if not len(y):
-        return RuleModel(40.0, ())
-    smoothed = (y.sum() + 1) / (len(y) + 2)
-    if y.min() == y.max() or len(y) < 20:
-        return RuleModel(float(np.log(smoothed / (1 - smoothed))), ())
+    """Rules and weights of labelled rows. Trees split nodes of 20 rows or more, so fewer rows than that, and rows of
+    one class, give no rules. Without rules nothing tells texts apart and every score is the same: 1 without rows or
+    with accepted ones alone, 0 with rejected ones alone, else the rate of accepted rows."""
+    if not len(y) or y.min() == y.max():
+        return RuleModel(40.0 if not len(y) or y[0] else -40.0, ())
     rules = grow_rules(x, y)
+    if not rules:
+        rate = y.mean()
+        return RuleModel(float(np.log(rate / (1 - rate))), ())
     r = np.stack([rule.holds(x) for rule in rules], axis=1).astype(np.float64)
     held = np.arange(len(y)) % 5 == 4
     best = None
@@ -264,10 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left out; several labels of an id count with their mean, rounded; of several texts of an id one counts."""
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = named.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.round(F.avg(label_col)).alias("y"))
-    sample, _ = materialise(least_hashed(one, "doc_id", rows), "sample")
+    sample, path = materialise(least_hashed(one, "doc_id", rows), "sample")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     found = statistics(chosen).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"))
     got = found.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("y", "x.*").toPandas()
+    discard(docs.sparkSession, path)
     return fit_arrays(got[STATISTICS].to_numpy(np.float64), got["y"].to_numpy(np.float64))
 
 
@@ -277,22 +283,19 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns, in one pass without a shuffle."""
-    tune(docs.sparkSession)
-    columns, schema = docs.columns, docs.schema
-    extra = [k if k not in columns else f"__{k}" for k in STATISTICS]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    """The rows of docs that the model accepts, with all their columns, in one pass without a shuffle. Null texts count
+    as empty; repeated rows are judged alike, an empty table stays empty, and the names of other columns don't matter.
 
-    whole = StructType([*schema.fields, *[StructField(k, DoubleType()) for k in extra]])
-    arrow = to_arrow_schema(whole)
+    Only the statistics come back from Python; rows stay where they are."""
+    tune(docs.sparkSession)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(it):
-            values = statistics_arrays(column(b, text_col))
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)], *[pa.array(values[:, j]) for j in range(len(extra))]], schema=arrow)
+    @arrow_udf(", ".join(f"{k} double" for k in STATISTICS))
+    def of(text: pa.Array) -> pa.Array:
+        values = statistics_arrays(text)
+        tidy()
+        return pa.StructArray.from_arrays([pa.array(values[:, j]) for j in range(values.shape[1])], STATISTICS)
 
-    wide = docs.mapInArrow(run, whole)
-    names = dict(zip(extra, STATISTICS, strict=True))
-    accepted = wide.select(F.struct(*columns).alias("__row"), *[F.col(k).alias(names[k]) for k in extra]).where(model.column() >= THRESHOLD)
-    return accepted.select("__row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    judged = rows.select("row", of.asNondeterministic()(text).alias("s")).where(model.column("s.") >= THRESHOLD)
+    return judged.select([F.col("row").getField(k).alias(k) for k in docs.columns])

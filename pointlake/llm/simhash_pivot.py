@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import mix
-from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, materialise, rows_of, text_blocks, tidy, tune
 from pointlake.llm.components import connected_components, forest
 from pointlake.llm.member_filter import MemberFilter
 from pointlake.llm.simhash_bits import votes
@@ -65,14 +65,16 @@ def fingerprint_arrays(text: pa.Array) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's text as a signed long; a row for every row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_key, fp): xxhash64 of each row's text and its fingerprint as a signed long; a row for every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
-            yield batches({"doc_id": column(b, "doc_id"), "fp": fingerprint_arrays(column(b, "text")).view(np.int64)}, schema)
+            yield batches({"doc_id": column(b, "doc_id"), "text_key": column(b, "text_key"), "fp": fingerprint_arrays(column(b, "text")).view(np.int64)}, schema)
+        tidy()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def pivot_table(fp: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
@@ -177,17 +179,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_tile_links, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, fp) of every row, (fp, component_id) of every fingerprint)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[str]]:
+    """((doc_id, text_key, fp) of every row, (fp, root, component_id) of every fingerprint, folders to discard). root: a
+    fingerprint that names the component, component_id: its smallest doc_id, or null."""
     tune(docs.sparkSession)
-    prints, _ = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints, prints_path = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct, path = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     member = connected_components(fingerprint_links(distinct.select("fp")))
-    labelled = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    class_of, _ = materialise(labelled.join(roots, "component").select("fp", "component_id"), "components")
+    labelled = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    class_of, class_path = materialise(labelled.join(roots, "root").select("fp", "root", "component_id"), "components")
     discard(docs.sparkSession, path)
-    return prints, class_of
+    return prints, class_of, [prints_path, class_path]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,31 +199,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id: the smallest id reachable over links between fingerprints RADIUS or fewer bits apart. Null and empty
     texts have fingerprint 0 and link like others; repeated rows come back as often; a null id has the component of its
     fingerprint (null if nothing else is in it). Other columns of docs don't matter."""
-    prints, class_of = classes(docs, id_col, text_col)
+    prints, class_of, _ = classes(docs, id_col, text_col)
     return prints.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near_duplicates(), with its columns as they are: that with the smallest id, and of
-    several rows with that id the one with the least text. Components without an id keep one row too.
-
-    Rows whose id is the only one of its component and occurs once, most of them, are passed on without a shuffle."""
-    prints, class_of = classes(docs, id_col, text_col)
-    sizes = prints.join(class_of, "fp").groupBy("component_id").agg(F.count("*").alias("n"))
-    rows = prints.join(class_of, "fp").join(sizes.where("n > 1 or component_id is null").withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left_semi")
-    shared, _ = materialise(rows.where("doc_id is not null").select("doc_id").distinct(), "shared")
-    perhaps = MemberFilter.build(shared, "doc_id").perhaps(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))) | F.col(id_col).isNull()
-    marked = docs.withColumn("__perhaps", perhaps)
-    few = marked.where("__perhaps").select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    from pyspark.sql.functions import arrow_udf
-
-    @arrow_udf("long")
-    def again(text: pa.Array) -> pa.Array:
-        return pa.array(fingerprint_arrays(text).view(np.int64))
-
-    judged = few.withColumn("fp", again("text")).join(class_of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A component without any id has its fingerprints' own null group: keep one row for each fingerprint.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    kept = judged.groupBy(group.alias("g")).agg(F.min_by("__row", F.struct(F.col("text").isNotNull(), "text")).alias("__row"))
-    return marked.where("not __perhaps").select(*docs.columns).unionByName(kept.select("__row.*"))
+    several rows with that id the one whose text has the least hash. Components without an id keep one row too. Null and
+    empty texts are one component, repeated rows one row, an empty table stays empty, other columns don't matter.
+
+    Texts are hashed once. Rows alone in their component, most of them, are passed on without a shuffle."""
+    spark = docs.sparkSession
+    prints, class_of, paths = classes(docs, id_col, text_col)
+    rows = prints.join(class_of.select("fp", "root"), "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    best = rows.groupBy("root").agg(F.min(first).alias("kept"), F.sum("n").alias("all"), F.min_by("n", first).alias("n")).where("all > 1")
+    # Of rows that are not alone: those to keep. Ids of all of them, to tell rows apart where they lie.
+    best, best_path = materialise(best.select("root", "kept.doc_id", "kept.text_key", "n"), "kept")
+    shared, shared_path = materialise(rows.join(best.select("root"), "root", "left_semi").select(F.coalesce("doc_id", F.lit(0)).alias("id")).distinct(), "shared")
+    tuned = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    marked = tuned.withColumn("perhaps", MemberFilter.build(shared, "id").perhaps(F.coalesce("doc_id", F.lit(0))))
+    text = F.col("row").getField(text_col).cast("string")
+    few = marked.where("perhaps").select("row", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text).alias("text_key"))
+    # A row of few is judged by its id and text: kept if these are a component's best or if it is alone.
+    lost = rows.join(best.select("root"), "root", "left_semi").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key").withColumn("fate", F.lit(0))
+    won = best.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", F.when(F.col("n") > 1, 2).otherwise(1).alias("fate"))
+    fate, fate_path = materialise(lost.unionByName(won).groupBy("id", "no_id", "text_key").agg(F.max("fate").alias("fate")), "fate")
+    judged = few.join(fate, ["id", "no_id", "text_key"], "left")
+    several = judged.where("fate = 2").groupBy("id", "no_id", "text_key").agg(F.first("row").alias("row"))
+    whole = marked.where("not perhaps").select("row").unionByName(judged.where("fate is null or fate = 1").select("row")).unionByName(several.select("row"))
+    for path in [*paths, best_path, shared_path]:
+        discard(spark, path)
+    return whole.select([F.col("row").getField(k).alias(k) for k in docs.columns])
