@@ -9,7 +9,7 @@ scores (ranks) are the pieces' weights to begin with; as pieces stand for words
 by expectation maximisation to the distinct words of training rows. A whole word's weight is its count less a
 discount, and what is discounted in all is the weight of going by pieces.
 
-Corpora mix languages and kinds of text. Documents fall in CLASSES classes, found without labels by their frequent
+Corpora mix languages and kinds of text. Documents fall in CLASSES classes, found without labels by all training rows'
 words; each class has its own discounted counts above those of all, and a document's probability is the sum over the
 classes, each with its share of training rows.
 
@@ -28,17 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import Words, prefix_sums, span_hash, words
-from pointlake.llm.common import batches, column, discard, least_hashed, materialise, rows_of, text_blocks, tune
+from pointlake.llm.common import batches, column, discard, least_hashed, materialise, rows_of, text_blocks, tidy, tune
 
 #: Words whose values documents look up in place: a table of this many rows of 24 bytes goes to every task.
 HEAD_WORDS = 100_000
 #: Passes over the distinct training words that fit the weights.
-ROUNDS = 2
+ROUNDS = 1
 #: Added to every piece's expected count.
 FLOOR = 0.01
 SMOOTH = 0.1
-#: Classes of documents, and the documents and words (at most) that tell them apart.
-CLASSES, CLASS_DOCS, CLASS_WORDS = 6, 2048, 1000
+#: Classes of documents, buckets of words that tell them apart, passes over all training rows, and rows that the first
+#: centres are chosen from.
+CLASSES, FEATURES, CLASS_PASSES, SEEDS = 6, 4096, 3, 256
 _WIDTHS = np.array([4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256])
 
 
@@ -192,63 +193,75 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 @dataclass
 class Classes:
-    """Words by hash with their log probability in each class, and the log share of each class."""
+    """Centres of classes over FEATURES buckets of words, of length 1 each, and the log share of each class."""
 
-    words: np.ndarray
-    log_word: np.ndarray
+    centre: np.ndarray
     log_share: np.ndarray
 
-    def of(self, w: Words) -> np.ndarray:
-        """The likeliest class of each document, by the words that tell classes apart; of equal ones the first."""
-        n = len(w.count)
-        score = np.tile(self.log_share[:, None], (1, n))
-        if len(self.words):
-            if not hasattr(self, "slots"):
-                self.slots = Slots(self.words)
-            at = self.slots.find(w.hash)
-            some = np.flatnonzero(at >= 0)
-            for k in range(len(score)):
-                score[k] += np.bincount(w.doc[some], self.log_word[k][at[some]], n)
-        return score.argmax(axis=0)
-
-
-def find_classes(docs: DataFrame, number: int = CLASSES, most: int = CLASS_DOCS, top: int = CLASS_WORDS) -> Classes:
-    """Classes of at most `most` rows not held out (those with the least hash of their id) by spherical k-means over
-    the frequencies of their `top` most widespread words; the centres to begin with are far from each other."""
-    schema = pa.schema([("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    def features(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, bucket, value) that are not zero: roots of the buckets' shares of each document's words."""
+        key, n = np.unique(w.doc * FEATURES + (w.hash >> np.uint64(52)).astype(np.int64), return_counts=True)
+        doc = key // FEATURES
+        return doc, key % FEATURES, np.sqrt(n / np.maximum(w.count, 1)[doc])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(self, w: Words) -> np.ndarray:
+        """The class with the nearest centre of each document; of equal ones, as for no words, the first."""
+        doc, bucket, value = self.features(w)
+        return np.stack([np.bincount(doc, value * c[bucket], len(w.count)) for c in self.centre]).argmax(axis=0)
+
+
+def find_classes(docs: DataFrame, number: int = CLASSES, passes: int = CLASS_PASSES, seeds: int = SEEDS) -> Classes:
+    """Spherical k-means over all rows not held out: each pass deals every one of them to its nearest centre and sums up
+    what the new centres and shares are. The first centres are far from each other among `seeds` rows, those with the
+    least hash of their id, and nothing else depends on these."""
+    learnt = docs.where("not held_out")
+    ids = least_hashed(learnt.where("doc_id is not null").select("doc_id").distinct(), "doc_id", seeds)
+    named = learnt.join(F.broadcast(ids), "doc_id", "left_semi")
+    none = Classes(np.zeros((number, FEATURES)), np.full(number, -np.log(number)))
+    found_schema = pa.schema([("x", pa.list_(pa.float64()))])
+
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
             for _, _, data, offsets in text_blocks(column(b, "text")):
                 w = words(data, offsets)
-                parts = [np.unique(x, return_counts=True) for x in np.split(w.hash, np.cumsum(w.count)[:-1])]
-                yield batches({"h": [x.view(np.int64) for x, _ in parts], "n": [n for _, n in parts]}, schema)
-
-    learnt = docs.where("not held_out and doc_id is not null")
-    ids = least_hashed(learnt.select("doc_id").distinct(), "doc_id", most)
-    chosen = learnt.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = [(np.array(r.h, np.int64).view(np.uint64), np.array(r.n, np.float64)) for r in chosen.mapInArrow(run, "h array<long>, n array<long>").collect()]
-    rows.sort(key=lambda r: (len(r[0]), r[0].tobytes()))
-    if not rows or not sum(len(h) for h, _ in rows):
-        return Classes(np.zeros(0, np.uint64), np.zeros((number, 0)), np.full(number, -np.log(number)))
-    names, spread = np.unique(np.concatenate([h for h, _ in rows]), return_counts=True)
-    names = names[np.argsort(-spread, kind="stable")[:top]]
-    slots, x = Slots(names), np.zeros((len(rows), len(names)))
-    for k, (h, n) in enumerate(rows):
-        at = slots.find(h)
-        x[k, at[at >= 0]] = n[at >= 0]
-    root = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
+                doc, bucket, value = none.features(w)
+                x = np.zeros((len(w.count), FEATURES))
+                x[doc, bucket] = value
+                yield batches({"x": list(x[w.count >= 20])}, found_schema)
+
+    rows = sorted({tuple(r.x) for r in named.select("text").mapInArrow(vectors, "x array<double>").collect()})
+    if not rows:
+        return none
+    root = np.array(rows)
     centre = [root.mean(0)]
     for _ in range(number):
         centre.append(root[np.min([((root - c) ** 2).sum(1) for c in centre[1:] or centre], axis=0).argmax()])
-    centre = np.stack(centre[1:])
-    for _ in range(20):
-        label = (root @ centre.T).argmax(1)
-        centre = np.stack([root[label == k].sum(0) if (label == k).any() else centre[k] for k in range(number)])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    total = np.stack([x[label == k].sum(0) for k in range(number)]) + 0.1 * (x.sum(0) + 1) / (x.sum() + len(names))
-    share = np.bincount(label, minlength=number) + 1.0
-    return Classes(names, np.log(total / total.sum(1, keepdims=True)), np.log(share / share.sum()))
+    classes = Classes(np.stack(centre[1:]), none.log_share)
+    sum_schema = pa.schema([("at", pa.int32()), ("v", pa.float64())])
+    for _ in range(passes):
+        now = classes
+
+        def sums(it: Iterator[pa.RecordBatch], now: Classes = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((number, FEATURES + 1))  # the last column has the number of documents
+            for b in rows_of(it):
+                for _, _, data, offsets in text_blocks(column(b, "text")):
+                    w = words(data, offsets)
+                    label = now.of(w)
+                    doc, bucket, value = now.features(w)
+                    total += np.bincount(label[doc] * (FEATURES + 1) + bucket, value, total.size).reshape(total.shape)
+                    total[:, FEATURES] += np.bincount(label[w.count > 0], minlength=number)
+            some = np.flatnonzero(total.ravel())
+            yield batches({"at": some.astype(np.int32), "v": total.ravel()[some]}, sum_schema)
+
+        total = np.zeros(number * (FEATURES + 1))
+        for r in learnt.select("text").mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            total[r["at"]] = r.v  # a row for each class and bucket
+        total = total.reshape(number, -1)
+        empty = total[:, FEATURES] == 0
+        centre = np.where(empty[:, None], classes.centre, total[:, :FEATURES])
+        share = total[:, FEATURES] + 1.0
+        classes = Classes(centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12), np.log(share / share.sum()))
+    return classes
 
 
 def count_words(docs: DataFrame, classes: Classes) -> DataFrame:
@@ -332,7 +345,6 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
     apart by 64-bit hashes."""
     spark = docs.sparkSession
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out())
     classes = find_classes(rows)
     each = range(len(classes.log_share))
@@ -371,21 +383,21 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
     head_values = [(head_c > 0).astype(np.float64), np.log10(head_c + SMOOTH), *[head[k].to_numpy(np.float64) for k in lps]]
 
     # One row a document with what its frequent words add up to (h null), and one for each other word with its number.
-    part_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), *[(k, pa.float64()) for k in lps], ("doc_id", pa.int64())])
+    part_schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("r2", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), *[(k, pa.float64()) for k in lps], ("doc_id", pa.int64())])
     slots: list[Slots] = []
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not slots:
             slots.append(Slots(head_h))
         for b in rows_of(it):
-            r, doc_id = column(b, "r"), column(b, "doc_id")
+            r, r2, doc_id = column(b, "r"), column(b, "r2"), column(b, "doc_id")
             for low, high, data, offsets in text_blocks(column(b, "text")):
                 w, n = words(data, offsets), high - low
                 at = slots[0].find(w.hash)
                 inside, tail = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
                 d, j = w.doc[inside], at[inside]
                 sums = [np.bincount(d, x[j], n) if len(j) else np.zeros(n) for x in head_values]
-                own = [pa.nulls(n, pa.int64()), r.slice(low, n), pa.array(w.count.astype(np.int64)), pa.array(sums[0].astype(np.int64)), *[pa.array(x) for x in sums[1:]], doc_id.slice(low, n)]
+                own = [pa.nulls(n, pa.int64()), r.slice(low, n), r2.slice(low, n), pa.array(w.count.astype(np.int64)), pa.array(sums[0].astype(np.int64)), *[pa.array(x) for x in sums[1:]], doc_id.slice(low, n)]
                 yield pa.RecordBatch.from_arrays(own, schema=part_schema)
                 if len(tail):
                     doc, h = w.doc[tail], w.hash[tail]
@@ -393,15 +405,15 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
                     doc, h = doc[order], h[order]
                     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
                     number = np.diff(np.append(first, len(h)))
-                    rest = [pa.nulls(len(first), f.type) for f in list(part_schema)[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), r.slice(low, n).take(pa.array(doc[first])), pa.array(number.astype(np.int64)), *rest], schema=part_schema)
+                    rest = [pa.nulls(len(first), f.type) for f in list(part_schema)[4:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), r.slice(low, n).take(pa.array(doc[first])), r2.slice(low, n).take(pa.array(doc[first])), pa.array(number.astype(np.int64)), *rest], schema=part_schema)
 
-    both, _ = materialise(rows.select(F.xxhash64("doc_id", "text").alias("r"), "doc_id", "text").mapInArrow(parts, f"h long, r long, n long, known long, logs double, {lp_kinds}, doc_id long"), "parts")
-    own = both.where("h is null").select("r", F.lit(1).alias("copies"), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).alias("known"), (F.col("logs") + F.lit(float(np.log10(ends + SMOOTH)))).alias("logs"), *lps, "doc_id")
-    rare = both.where("h is not null").select("h", "r", "n").join(valued, "h").select(
-        "r", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("logs"), *[(F.col("n") * F.col(k)).alias(k) for k in lps], F.lit(None).cast("long").alias("doc_id")
+    both, _ = materialise(rows.select(F.xxhash64("doc_id", "text").alias("r"), F.xxhash64(F.lit(1), "text", "doc_id").alias("r2"), "doc_id", "text").mapInArrow(parts, f"h long, r long, r2 long, n long, known long, logs double, {lp_kinds}, doc_id long"), "parts")
+    own = both.where("h is null").select("r", "r2", F.lit(1).alias("copies"), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).alias("known"), (F.col("logs") + F.lit(float(np.log10(ends + SMOOTH)))).alias("logs"), *lps, "doc_id")
+    rare = both.where("h is not null").select("h", "r", "r2", "n").join(valued, "h").select(
+        "r", "r2", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("logs"), *[(F.col("n") * F.col(k)).alias(k) for k in lps], F.lit(None).cast("long").alias("doc_id")
     )
-    summed = own.unionByName(rare).groupBy("r").agg(*[F.sum(k).alias(k) for k in ("copies", "n_tokens", "known", "logs", *lps)], F.max("doc_id").alias("doc_id"))
+    summed = own.unionByName(rare).groupBy("r", "r2").agg(*[F.sum(k).alias(k) for k in ("copies", "n_tokens", "known", "logs", *lps)], F.max("doc_id").alias("doc_id"))
     scale = float(np.log10(total + SMOOTH * (distinct + 1)))
     one = lambda k: F.col(k) / F.col("copies")
     log10_share = classes.log_share / np.log(10.0)
