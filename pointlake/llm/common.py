@@ -50,23 +50,42 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pointlake-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='pointlake-')}"  # one process, as in tests: its folder is shared
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pointlake-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df once below the shared folder and read it back: later steps neither recompute it nor hang on its
-    executors. Returns the table and its folder, to be removed with discard()."""
+    executors. Returns the table and its folder, to be removed with discard(); what a result still reads is removed
+    when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Folders of materialise() that are still there.
+_written: dict[str, SparkSession] = {}
+
+
+def _discard_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            discard(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone, and no one is left to tell
+            return
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by materialise()."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """Delete a folder made by materialise(), and the folder made for it."""
+    _written.pop(path, None)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -23,6 +24,8 @@ from pointlake.llm.components import connected_components, forest
 COSINE = 0.9
 #: Vectors for each pivot, pivots at most, and rows of a tile on the side of the cell's own vectors and on the other.
 PIVOT_ROWS, PIVOTS, OWN_ROWS, OTHER_ROWS = 4096, 256, 4096, 16384
+#: Pivots at least, however small the table.
+FEW_PIVOTS = 16
 _BLOCK = 2048
 
 
@@ -31,27 +34,33 @@ def _unpack(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, 0))
 
 
-def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
-    """((vec_id, v) of vectors that can link, numpy type of the packed v). Others are null, empty, zero or have null or
-    non-finite components (in double precision their norm must be finite too)."""
+def _binary(data: bytes, size: np.ndarray) -> pa.Array:
+    """Binary values of `size` bytes each, one after the other in data."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """((vec_id, v) of every row, numpy type of the packed v). v is null for vectors that can't link: null, empty, zero
+    or with null or non-finite components (in double precision their norm must be finite too)."""
     kind = "<f4" if isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
-    arrow = pa.float32() if kind == "<f4" else pa.float64()
     schema = pa.schema([("vec_id", pa.int64()), ("v", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(it):
-            ids, packed = [], []
-            for k, x in zip(column(b, "vec_id").to_pylist(), column(b, "v"), strict=True):
-                if not x.is_valid or x.values.null_count or not len(x.values):
-                    continue
-                v = x.values.cast(arrow).to_numpy(zero_copy_only=False)
-                wide = v.astype(np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    size = wide @ wide
-                if np.isfinite(wide).all() and np.isfinite(size) and size > 0:
-                    ids.append(k)
-                    packed.append(v.astype(kind).tobytes())
-            yield batches({"vec_id": ids, "v": packed}, schema)
+            lists, n = column(b, "v"), b.num_rows
+            of = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            parts = lists.flatten()
+            value = pc.fill_null(parts, 0.0).to_numpy(zero_copy_only=False).astype(kind)
+            with np.errstate(over="ignore", invalid="ignore"):
+                wide = value.astype(np.float64)
+                size = np.bincount(of, wide * wide, n)
+                wrong = np.bincount(of, ~np.isfinite(wide) | parts.is_null().to_numpy(zero_copy_only=False), n)
+                fit = (wrong == 0) & np.isfinite(size) & (size > 0)
+            length = np.bincount(of, minlength=n)[fit] * value.itemsize
+            packed = _binary(value[fit[of]].tobytes(), length)
+            at = np.where(fit, np.cumsum(fit) - 1, 0)
+            yield pa.RecordBatch.from_arrays([column(b, "vec_id"), packed.take(pa.array(at, mask=~fit))], schema=schema)
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
     return rows.mapInArrow(run, "vec_id long, v binary"), kind
@@ -86,53 +95,48 @@ def tile_links(own: np.ndarray, other: np.ndarray, own_count: np.ndarray, other_
     return left, right, root
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, own_rows: int = OWN_ROWS, other_rows: int = OTHER_ROWS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
-    """vec_id, n_links (other rows linked directly), component_id (least vec_id reachable), kept (vec_id is it) for
-    every row. Vectors that can't link, see valid_vectors(), have 0 links and are their own component, and vectors of
-    different lengths don't link. Repeated rows count as others; a null id has its component's least id, if any."""
-    spark = vectors.sparkSession
-    tune(spark)
-    valid, kind = valid_vectors(vectors, id_col, vector_col)
-    keyed, _ = materialise(valid.withColumn("node", F.xxhash64("v")), "vectors")
-    classes, _ = materialise(keyed.groupBy("node", "v").agg(F.count("*").alias("m"), F.min("vec_id").alias("least")), "classes")
-    number = classes.count()
-    if not number:
-        return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
-    pivots = max(1, min(PIVOTS, -(-number // pivot_rows)))
-    chosen = [np.frombuffer(r.v, kind).astype(np.float64) for r in least_hashed(classes, "node", pivots).select("v").collect()]
-    chosen = [p / np.linalg.norm(p) for p in chosen]
-    angle = float(np.arccos(cosine))
+def choose_pivots(classes: DataFrame, kind: str, pivot_rows: int = PIVOT_ROWS) -> list[np.ndarray]:
+    """Unit vectors of classes (node, v): one for every pivot_rows of them, but FEW_PIVOTS at least and PIVOTS at most."""
+    number = max(min(FEW_PIVOTS, PIVOTS), -(-classes.count() // pivot_rows))
+    found = [np.frombuffer(r.v, kind).astype(np.float64) for r in least_hashed(classes, "node", min(PIVOTS, number)).select("v").collect()]
+    return [p / np.linalg.norm(p) for p in found]
+
 
-    placed_schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("m", pa.int64()), ("size", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("radius", pa.float64()), ("reach", pa.list_(pa.float64()))])
+def placement(classes: DataFrame, kind: str, chosen: list[np.ndarray], cosine: float = COSINE, own_rows: int = OWN_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every vector in its home cell, a row for each cell, the vectors replicated to cells before their own)."""
+    angle = float(np.arccos(cosine))
+    schema = pa.schema([("node", pa.int64()), ("v", pa.binary()), ("m", pa.int64()), ("size", pa.int32()), ("cell", pa.int32()), ("radius", pa.float64()), ("reach", pa.list_(pa.float64()))])
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Home cell, angle to its pivot, and the angles to earlier pivots within reach (else null). Vectors whose
         length no pivot has share cell -1 of their length."""
         for b in rows_of(it):
-            raw = column(b, "v").to_pylist()
-            out: dict[str, list] = {f.name: [] for f in placed_schema}
-            sizes = np.array([len(x) for x in raw])
+            sizes = pc.binary_length(column(b, "v")).to_numpy()
             for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(raw[k] for k in rows), kind).reshape(len(rows), -1).astype(np.float64)
+                part = b.filter(pa.array(sizes == size))
+                x = _unpack(column(part, "v"), kind)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                fit = [k for k, p in enumerate(chosen) if len(p) == x.shape[1]]
-                far = np.arccos(np.clip(x @ np.stack([chosen[k] for k in fit]).T, -1, 1)) if fit else np.zeros((len(rows), 0))
-                home = far.argmin(axis=1) if fit else np.zeros(len(rows), np.int64)
-                for r, k in enumerate(rows.tolist()):
-                    d = far[r, home[r]] if fit else 0.0
-                    reach = [float(far[r, c]) if far[r, c] <= d + 2 * angle + 1e-7 else None for c in range(home[r])]
-                    for name, value in zip(out, (column(b, "node")[k].as_py(), raw[k], column(b, "m")[k].as_py(), int(size), fit[home[r]] if fit else -1, True, float(d), reach), strict=True):
-                        out[name].append(value)
-            yield batches(out, placed_schema)
-
-    placed, _ = materialise(classes.select("node", "v", "m").mapInArrow(place, "node long, v binary, m long, size int, cell int, home boolean, radius double, reach array<double>"), "placed")
+                fit = np.array([k for k, p in enumerate(chosen) if len(p) == x.shape[1]], np.int64)
+                n = len(x)
+                cell, radius, home = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n, np.int64)
+                far = np.zeros((n, 0))
+                if len(fit):
+                    far = np.arccos(np.clip(x @ np.stack([chosen[k] for k in fit]).T, -1, 1))
+                    home = far.argmin(axis=1)
+                    cell, radius = fit[home].astype(np.int32), far.min(axis=1)
+                earlier = np.arange(far.shape[1]) < home[:, None]
+                flat = far[earlier]
+                beyond = flat > np.repeat(radius + 2 * angle + 1e-7, home)
+                reach = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(home)]).astype(np.int32)), pa.array(flat, mask=beyond))
+                yield pa.RecordBatch.from_arrays([column(part, "node"), column(part, "v"), column(part, "m"), pa.array(np.full(n, size, np.int32)), pa.array(cell), pa.array(radius), reach], schema=schema)
+
+    placed, _ = materialise(classes.select("node", "v", "m").mapInArrow(place, "node long, v binary, m long, size int, cell int, radius double, reach array<double>"), "placed")
     # A row per cell: its radius and how many it has of its own; then how many are replicated to it.
     cells = placed.groupBy("size", "cell").agg(F.max("radius").alias("wide"), F.ceil(F.count("*") / F.lit(own_rows)).cast("int").alias("chunks"))
-    positions = {}
+    positions: dict[int, list[int]] = {}
     for k, p in enumerate(chosen):
-        positions.setdefault(len(p), []).append(k)
-    order = F.create_map(*[F.lit(x) for length, ks in positions.items() for x in (length * np.dtype(kind).itemsize, F.array(*[F.lit(k) for k in ks]))])
+        positions.setdefault(len(p) * np.dtype(kind).itemsize, []).append(k)
+    order = F.create_map(*[F.lit(x) for length, ks in positions.items() for x in (length, F.array(*[F.lit(k) for k in ks]))]) if chosen else F.create_map(F.lit(0), F.array(F.lit(0)))
     guests = (
         placed.select("node", "v", "m", "size", F.posexplode("reach").alias("k", "far"))
         .where(F.col("far").isNotNull())
@@ -141,6 +145,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .where(F.col("far") <= F.col("wide") + F.lit(angle + 1e-7))
         .select("node", "v", "m", "size", "cell", "chunks")
     )
+    return placed, cells, guests
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, own_rows: int = OWN_ROWS, other_rows: int = OTHER_ROWS, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """vec_id, n_links (other rows linked directly), component_id (least vec_id reachable), kept (vec_id is it) for
+    every row. Vectors that can't link, see packed_vectors(), have 0 links and are their own component, and vectors of
+    different lengths don't link. Repeated rows count as others; a null id has its component's least id, if any."""
+    spark = vectors.sparkSession
+    tune(spark)
+    packed, kind = packed_vectors(vectors, id_col, vector_col)
+    keyed, _ = materialise(packed.withColumn("node", F.xxhash64("v")), "vectors")
+    classes, _ = materialise(keyed.where("v is not null").groupBy("node", "v").agg(F.count("*").alias("m"), F.min("vec_id").alias("least")), "classes")
+    chosen = choose_pivots(classes, kind, pivot_rows)
+    placed, cells, guests = placement(classes, kind, chosen, cosine, own_rows)
     counts = guests.groupBy("size", "cell").agg(F.ceil(F.count("*") / F.lit(other_rows)).cast("int").alias("parts"))
     own = placed.join(F.broadcast(cells.select("size", "cell", "chunks")), ["size", "cell"]).join(F.broadcast(counts), ["size", "cell"], "left")
     chunk = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("chunks")).cast("int")
@@ -178,9 +196,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     labelled = classes.select("node", "m", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = labelled.join(roots, "component").join(links, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    of_row = keyed.select("vec_id", "node").join(of_class, "node").select("vec_id", "n_links", "component_id")
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id")).groupBy("vec_id").count()
-    linked = of_row.groupBy("vec_id").agg(F.count("*").alias("n"))
-    alone = every.join(linked, every.vec_id.eqNullSafe(linked.vec_id), "left").select(every.vec_id, F.expr("explode(array_repeat(0L, cast(count - coalesce(n, 0) as int)))").alias("n_links"))
-    return of_row.unionByName(alone.withColumn("component_id", F.col("vec_id"))).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
+    of_row = keyed.where("v is not null").select("vec_id", "node").join(of_class, "node").select("vec_id", "n_links", "component_id")
+    alone = keyed.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return of_row.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -102,8 +102,6 @@ def linked_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         i, j = order[i], order[j]
         for k in range(1, table.shape[1]):
-            if len(i) < 256:
-                break
             keep = np.abs(table[i, k] - table[j, k]) <= radius
             i, j = i[keep], j[keep]
         far = np.bitwise_count(fp[i] ^ fp[j])

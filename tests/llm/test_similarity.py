@@ -183,6 +183,22 @@ def test_metric_join_against_brute_force(spark, size):
     assert max(w[1] for w in want) > 20
 
 
+def test_pivots_prune_clusters(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(30, 16))
+    x = (centre[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16)) * 0.05).astype(np.float32)
+    rows = [(int(i), bytearray(r.tobytes()), 1) for i, r in enumerate(x)]
+    classes = spark.createDataFrame(rows, "node long, v binary, m long")
+    chosen = metric_join.choose_pivots(classes, "<f4")
+    assert len(chosen) == metric_join.FEW_PIVOTS
+    placed, _, guests = metric_join.placement(classes, "<f4", chosen)
+    own = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
+    replicas = {r.cell: r["count"] for r in guests.groupBy("cell").count().collect()}
+    compared = sum(n * (n - 1) // 2 + n * replicas.get(c, 0) for c, n in own.items())
+    assert len(own) > 5 and 0 < sum(replicas.values()) < 0.5 * 1500 * len(own)
+    assert compared < 0.5 * 1500 * 1499 / 2
+
+
 def test_metric_join_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert metric_join.near_duplicates(df).count() == 0
