@@ -14,7 +14,7 @@ Jaccard similarity s have equal minima for each function with probability s.
    which no passage covers yet are linked to.
 4. Windows that are still not covered were linked to a document that shares something else, such as a frequent line. They
    meet again by sharper signatures, the minima of two functions over one subsequence, and are linked to the smallest
-   and to the preceding document there. What they find is aligned as well.
+   and to the preceding document there. Where one function more than before agrees, these are aligned as well.
 """
 
 from __future__ import annotations
@@ -320,7 +320,7 @@ def _joint(place: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[n
     total, row = np.cumsum(ahead), 0
     while row < len(c):
         base = int(total[row - 1]) if row else 0
-        end = max(row + 1, int(np.searchsorted(total, base + (1 << 20), "right")))
+        end = max(row + 1, int(np.searchsorted(total, base + (1 << 18), "right")))
         n = ahead[row:end]
         i = np.repeat(np.arange(row, end), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -382,7 +382,7 @@ def candidates(links: DataFrame, min_words: int = MIN_WORDS, enough: int = ENOUG
 
 def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Signatures of two functions: (sign, doc_id, place, place2, open) of windows (key, doc_id, place, open), for
-    every two windows of a document with a common subsequence; open where one of them is."""
+    every two windows of a document with a common subsequence; open where both of them are."""
     least = min_words - SHINGLE + 1
     schema = pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("open", pa.bool_())])
 
@@ -394,7 +394,7 @@ def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for i, j in _joint(place, group, least):
                 low, high = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
                 sign = mix(key[low] + mix(key[high])).view(np.int64)
-                yield batches({"sign": sign, "doc_id": x["doc_id"][i], "place": place[low], "place2": place[high], "open": x["open"][i] | x["open"][j]}, schema)
+                yield batches({"sign": sign, "doc_id": x["doc_id"][i], "place": place[low], "place2": place[high], "open": x["open"][i] & x["open"][j]}, schema)
         tidy()
 
     return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, place long, place2 long, open boolean")
@@ -466,7 +466,7 @@ def _runs(token: np.ndarray, run: int) -> np.ndarray:
     n = max(0, len(token) - run + 1)
     out = np.zeros(n, np.uint64)
     for k in sorted({*range(0, run, SHINGLE), run - 1}):  # the words of these tokens are all words of the run
-        out = mix(out ^ token[k : k + n]) + np.uint64(k)
+        out = out * _FACTORS[1] + token[k : k + n]
     return out
 
 
@@ -517,7 +517,8 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
     """passages() of two documents' tokens, which cover all that a passage covers in own.
 
     Each stretch of equal tokens is a seed with a place in both; the tokens around it are matched with their occurrence
-    nearest to that place, so what the texts repeat elsewhere doesn't matter. Seeds in what is covered add nothing."""
+    nearest to that place, so what the texts repeat elsewhere doesn't matter. Seeds in what is covered add nothing, nor
+    do short ones beside another of nearly the same shift, which are in texts that are repeats for the most part."""
     if len(own) < least:
         return []
     # Of a passage's tokens similarity * least or more are common, so some stretch of `least` tokens has four fifths of that.
@@ -547,8 +548,10 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
     mark, own_kind, other_kind = np.zeros(len(kinds), bool), number[: len(own)], number[len(own) :]
     out: list[tuple[int, int, int, float]] = []
     covered, failed = np.zeros(len(own), bool), set()
-    for i, j, n in queue:
-        if covered[i : i + n].all():
+    begin, shift = np.array([q[0] for q in queue]), np.array([q[1] - q[0] for q in queue])
+    settled = np.zeros(len(queue), bool)
+    for at, (i, j, n) in enumerate(queue):
+        if settled[at] or covered[i : i + n].all():
             continue
         wide = max(least, n)
         while True:
@@ -566,6 +569,8 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
             if not got:
                 failed.add(seen)
             if all((s > low or not low) and (s + length < high or high == len(own)) for s, length, _, _ in got):
+                if n < least:  # what has the nearly same shift there has been compared as well
+                    settled |= (begin >= i) & (begin <= i + n) & (np.abs(shift - (j - i)) <= 2 * SHINGLE)
                 for s, length, _, _ in got:
                     covered[s : s + length] = True
                 out += [g for g in got if g not in out]
@@ -659,10 +664,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     second = kept(candidates(state.where("open"), min_words, enough).join(best, ["doc_id", "other_id"], "left_anti"), "second")
     found = found.unionByName(check(second, "passages"))
 
-    state = kept(still_open(state.drop("open"), found), "state")
-    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", "open").distinct()
+    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", "open")
     signs = kept(sharper(pool, min_words), "signs")
-    third = candidates(sharper_links(signs), min_words, enough)
+    third = candidates(sharper_links(signs), min_words, min(functions, enough + 1))
     third = kept(third.join(best.unionByName(second.select(*best.columns)), ["doc_id", "other_id"], "left_anti"), "third")
     found = found.unionByName(check(third, "passages"))
 

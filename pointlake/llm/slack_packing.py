@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import batches, column, rows_of, texts, tune
+from pointlake.llm.common import batches, column, rows_of, texts, tidy, tune
 from pointlake.llm.token_cache import REMEMBERED, library_encoder
 
 CAPACITY = 2048
@@ -151,6 +151,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY,
             yield packer.taken()
         packer.end()
         yield packer.taken()
+        tidy()
 
     kinds = ", ".join(f"`{f.name}` long" for f in PIECE)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import regex
 
+from pointlake.llm.common import tidy
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker; beyond it the older half goes.
@@ -58,11 +60,13 @@ class PieceEncoder:
         """The packed ids of each text."""
         number, collected = self.known.__getitem__, gc.isenabled()
         gc.disable()  # many small lists and no cycles: collecting would walk all that is remembered
-        rows = [list(map(number, self.cut(text))) for text in texts]
-        if self.known.new:
-            self._learn()
-        if collected:
-            gc.enable()
+        try:
+            rows = [list(map(number, self.cut(text))) for text in texts]
+            if self.known.new:
+                self._learn()
+        finally:
+            if collected:
+                gc.enable()
         out = [b"".join(map(self.packed.__getitem__, row)) for row in rows]
         if len(self.known) > self.remembered:
             half = len(self.known) // 2
@@ -174,4 +178,6 @@ def library_encoder(file: str, remembered: int = REMEMBERED) -> tuple[PieceEncod
         raise ValueError(f"no rule for the pre-tokens of {file}")
     encoder.remembered = remembered
     _encoders[file] = encoder, kind
+    del config
+    tidy()  # reading the file takes several times what is kept of it
     return _encoders[file]
