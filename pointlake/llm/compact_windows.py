@@ -44,6 +44,8 @@ PACKED, BUCKET_BYTES = 1 << 19, 4 << 20
 UNKNOWN_BUCKETS = 1 << 10
 #: A window's reach to either side is kept up to so many tokens.
 REACH = 255
+#: Stands for no document.
+_NONE = int(np.iinfo(np.int64).min)
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -262,8 +264,9 @@ def packed_windows(docs: DataFrame, buckets: int, min_words: int = MIN_WORDS, fu
 
 def meetings(packed: DataFrame) -> DataFrame:
     """Windows whose minimum several documents have: key, doc_id, place, other_id, other_place (of the smallest
-    document; null in its own rows). Copies have a null key, their text's key as place, and other_place words."""
-    schema = pa.schema([(k, pa.int64()) for k in ("key", "doc_id", "place", "other_id", "other_place")])
+    document; null in its own rows), many (more than two documents have it). Copies have a null key, their text's key as
+    place, and other_place words."""
+    schema = pa.schema([*[(k, pa.int64()) for k in ("key", "doc_id", "place", "other_id", "other_place")], ("many", pa.bool_())])
 
     def together(parts: list) -> pa.RecordBatch | None:
         key, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -283,7 +286,8 @@ def meetings(packed: DataFrame) -> DataFrame:
         other = head + np.minimum(np.arange(len(key)) - first, heads - 1)
         own = np.flatnonzero(several)
         least = doc[own] == doc[head[own]]
-        return batches({"key": key[own].view(np.int64), "doc_id": doc[own], "place": place[own], "other_id": pa.array(doc[other[own]], mask=least), "other_place": pa.array(place[other[own]], mask=least)}, schema)
+        many = np.repeat(np.add.reduceat(fresh.astype(np.int64), start) > 2, size)[own]
+        return batches({"key": key[own].view(np.int64), "doc_id": doc[own], "place": place[own], "other_id": pa.array(doc[other[own]], mask=least), "other_place": pa.array(place[other[own]], mask=least), "many": many}, schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
@@ -300,15 +304,15 @@ def meetings(packed: DataFrame) -> DataFrame:
                     continue
                 x = np.frombuffer(data, np.int64).reshape(-1, n)
                 if kind == 1:
-                    yield batches(dict(zip(schema.names, x, strict=True)), schema)
+                    yield batches({**dict(zip(schema.names, x, strict=False)), "many": np.ones(n, bool)}, schema)
                 else:
-                    yield batches({"key": pa.nulls(n, pa.int64()), "doc_id": x[0], "place": x[1], "other_id": x[3], "other_place": x[2]}, schema)
+                    yield batches({"key": pa.nulls(n, pa.int64()), "doc_id": x[0], "place": x[1], "other_id": x[3], "other_place": x[2], "many": np.zeros(n, bool)}, schema)
         if parts and (out := together(parts)) is not None:
             yield out
         tidy()
 
     number = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(number, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, doc_id long, place long, other_id long, other_place long")
+    return packed.repartition(number, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, doc_id long, place long, other_id long, other_place long, many boolean")
 
 
 def _joint(place: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -381,23 +385,24 @@ def candidates(links: DataFrame, min_words: int = MIN_WORDS, enough: int = ENOUG
 
 
 def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Signatures of two functions: (sign, doc_id, place, place2, open) of windows (key, doc_id, place, open), for
-    every two windows of a document with a common subsequence; open where both of them are."""
+    """Signatures of two functions: (sign, doc_id, place, place2, open, done) of windows (key, doc_id, place, other_id,
+    open), for every two windows of a document with a common subsequence; open where both of them are, done: the
+    document that both are linked to already, if it is one."""
     least = min_words - SHINGLE + 1
-    schema = pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("open", pa.bool_())])
+    schema = pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("open", pa.bool_()), ("done", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_groups(it, ["doc_id", "doc_id", "place", "key", "open"]):
+        for x in _whole_groups(it, ["doc_id", "doc_id", "place", "key", "open", "other_id"]):
             group = np.cumsum(np.concatenate([[False], x["doc_id"][1:] != x["doc_id"][:-1]]))
             key, place = x["key"].view(np.uint64), x["place"]
             k = unpacked(place)[1]
             for i, j in _joint(place, group, least):
                 low, high = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
                 sign = mix(key[low] + mix(key[high])).view(np.int64)
-                yield batches({"sign": sign, "doc_id": x["doc_id"][i], "place": place[low], "place2": place[high], "open": x["open"][i] & x["open"][j]}, schema)
+                yield batches({"sign": sign, "doc_id": x["doc_id"][i], "place": place[low], "place2": place[high], "open": x["open"][i] & x["open"][j], "done": np.where(x["other_id"][i] == x["other_id"][j], x["other_id"][i], _NONE)}, schema)
         tidy()
 
-    return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, place long, place2 long, open boolean")
+    return windows.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "sign long, doc_id long, place long, place2 long, open boolean, done long")
 
 
 def sharper_links(signs: DataFrame) -> DataFrame:
@@ -409,8 +414,8 @@ def sharper_links(signs: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, first, last = None, None, None
         for b in rows_of(it):
-            s, d, p, q, o = (column(b, k).to_numpy(zero_copy_only=False) for k in ("sign", "doc_id", "place", "place2", "open"))
-            rows = np.stack([d, p, q])
+            s, d, p, q, o, done = (column(b, k).to_numpy(zero_copy_only=False) for k in ("sign", "doc_id", "place", "place2", "open", "done"))
+            rows = np.stack([d, p, q, done])
             if sign is not None:  # the smallest and the last row of the batch before go ahead
                 s, o = np.concatenate([[sign, sign], s]), np.concatenate([[False, False], o])
                 rows = np.concatenate([first[:, None], last[:, None], rows], axis=1)
@@ -418,7 +423,7 @@ def sharper_links(signs: DataFrame) -> DataFrame:
             at = np.arange(len(s))
             head = np.maximum.accumulate(np.where(fresh, at, 0))
             for other in (head, np.maximum(at - 1, 0)):
-                keep = np.flatnonzero(o & (s[other] == s) & (rows[0, other] < rows[0]))
+                keep = np.flatnonzero(o & (s[other] == s) & (rows[0, other] < rows[0]) & (rows[0, other] != rows[3]))
                 for k in (1, 2):
                     yield batches({"doc_id": rows[0, keep], "other_id": rows[0, other[keep]], "place": rows[k, keep], "other_place": rows[k, other[keep]]}, schema)
             sign, first, last = s[-1], rows[:, head[-1]], rows[:, -1]
@@ -630,20 +635,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     size = input_bytes(docs)
     buckets = 1 << max(1, min(24, (size // BUCKET_BYTES).bit_length())) if size < 1 << 50 else UNKNOWN_BUCKETS
     met, met_path = materialise(meetings(packed_windows(rows, buckets, min_words, functions)), "meetings")
-    copies, met = met.where("key is null"), met.where("key is not null")
-
     repeated, repeated_path = materialise(rows.groupBy("doc_id", "text_key").count().where("count > 1"), "repeated")
     if not repeated.isEmpty():  # else a row is paired as often as it is there
         again = MemberFilter.build(repeated.select("doc_id"), "doc_id").perhaps(F.col("doc_id"))
         rows = rows.withColumn("again", again)
         rows = rows.where("not again").unionByName(rows.where("again").dropDuplicates(["doc_id", "text_key"])).drop("again")
-    paths = [met_path, repeated_path]
+    paths = [repeated_path]
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         out, path = materialise(df, name)
         paths.append(path)
         return out
 
+    copies, met = kept(met.where("key is null"), "copies"), met.where("key is not null")
+
     def check(pairs: DataFrame, name: str) -> DataFrame:
         own, other = (MemberFilter.build(pairs.select(k), k).perhaps(F.col("doc_id")) for k in ("doc_id", "other_id"))
         others = rows.where(other).select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
@@ -660,14 +665,19 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     every = kept(candidates(met.where("other_id is not null"), min_words, enough), "pairs")
     best = kept(every.groupBy("doc_id").agg(F.max_by("other_id", F.struct("n", -F.col("other_id"))).alias("other_id")), "best")
     found = check(best, "passages")
-    state = kept(still_open(met, found), "state")
+    state, state_path = materialise(still_open(met, found), "state")
+    discard(spark, met_path)
     second = kept(candidates(state.where("open"), min_words, enough).join(best, ["doc_id", "other_id"], "left_anti"), "second")
     found = found.unionByName(check(second, "passages"))
 
-    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", "open")
-    signs = kept(sharper(pool, min_words), "signs")
+    # Of a minimum that two documents have, these have been compared.
+    state = state.where("many")
+    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", F.coalesce("other_id", F.lit(_NONE)).alias("other_id"), "open")
+    signs, signs_path = materialise(sharper(pool, min_words), "signs")
+    discard(spark, state_path)
     third = candidates(sharper_links(signs), min_words, min(functions, enough + 1))
     third = kept(third.join(best.unionByName(second.select(*best.columns)), ["doc_id", "other_id"], "left_anti"), "third")
+    discard(spark, signs_path)
     found = found.unionByName(check(third, "passages"))
 
     kinds = found.schema

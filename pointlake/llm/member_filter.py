@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from pointlake.llm.common import tidy
+
 BITS = 1 << 25
 
 
@@ -28,6 +30,8 @@ class MemberFilter:
         got = rows.toPandas()  # a row for each word of the bitmap at most
         out = np.zeros(bits // 64, np.uint64)
         out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+        del got
+        tidy()
         return cls(out)
 
     def perhaps(self, key: Column) -> Column:

@@ -206,26 +206,30 @@ def grow_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
 
 
 def _lasso(r: np.ndarray, y: np.ndarray, strength: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic weights and intercept with an L1 penalty, by accelerated proximal gradient steps."""
+    """Logistic weights and intercept with an L1 penalty, by accelerated proximal gradient steps. r: which rules (its
+    columns) hold, as booleans."""
     n, m = r.shape
-    scale = np.sqrt(np.maximum(r.mean(0) * (1 - r.mean(0)), 1e-4))
-    a = (r - r.mean(0)) / scale
-    step = 4.0 / max(np.linalg.norm(a @ (a.T @ np.ones(n) / n)) / np.sqrt(n), _norm(a), 1e-9)
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b, v, t = np.zeros(m), np.log(rate / (1 - rate)), np.zeros(m), 1.0
+    rate = r.mean(0)
+    scale = np.sqrt(np.maximum(rate * (1 - rate), 1e-4))
+    a = r.astype(np.float32)
+    a -= rate.astype(np.float32)
+    a /= scale.astype(np.float32)
+    step = 4.0 / max(_norm(a), 1e-9)
+    positive = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    w, b, v, t = np.zeros(m), np.log(positive / (1 - positive)), np.zeros(m), 1.0
     for _ in range(steps):
-        error = _sigmoid(a @ v + b) - y
-        new = v - step * (a.T @ error) / n
+        error = _sigmoid((a @ v.astype(np.float32)).astype(np.float64) + b) - y
+        new = v - step * (a.T @ error.astype(np.float32)).astype(np.float64) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * strength, 0)
         b -= 2.0 * error.mean()
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v, w = new + (before - 1) / t * (new - w), new
-    return w / scale, float(b - (w / scale) @ r.mean(0))
+    return w / scale, float(b - (w / scale) @ rate)
 
 
 def _norm(a: np.ndarray) -> float:
     """The greatest eigenvalue of a'a / n, by power iteration."""
-    v = np.ones(a.shape[1])
+    v = np.ones(a.shape[1], np.float32)
     for _ in range(30):
         u = a.T @ (a @ v) / len(a)
         size = np.linalg.norm(u)
@@ -245,7 +249,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> RuleModel:
     if not rules:
         rate = y.mean()
         return RuleModel(float(np.log(rate / (1 - rate))), ())
-    r = np.stack([rule.holds(x) for rule in rules], axis=1).astype(np.float64)
+    r = np.stack([rule.holds(x) for rule in rules], axis=1)
     held = np.arange(len(y)) % 5 == 4
     best = None
     for strength in LASSO:
@@ -274,7 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = statistics(chosen).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("x"))
     got = found.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("y", "x.*").toPandas()
     discard(docs.sparkSession, path)
-    return fit_arrays(got[STATISTICS].to_numpy(np.float64), got["y"].to_numpy(np.float64))
+    model = fit_arrays(got[STATISTICS].to_numpy(np.float64), got["y"].to_numpy(np.float64))
+    del got
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
