@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share, so that later steps neither recompute it nor
-    depend on the executors that made it. A folder of its own is used only where none is set, as in tests."""
+    depend on the executors that made it. Where none is set, as in tests, a session of
+    one process uses a folder of its own; on a cluster that is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pointlake-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"

@@ -57,6 +57,10 @@ class PlyPartition(InputPartition):
         self.name, self.first, self.rows = name, first, rows
 
 
+#: Points that a task holds before it writes a file.
+FILE_ROWS = 1 << 20
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, every: int):
         self.path, self.schema, self.every = path, schema, every
@@ -106,52 +110,73 @@ def _files(path: str) -> list[str]:
 
 
 class PlyWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema, self.job = path, schema, uuid.uuid4().hex
+    """A task writes files of at most FILE_ROWS points, named by job, task and number. They get their names when all
+    tasks are done; files of earlier jobs stay (append) or go just before that (overwrite)."""
+
+    def __init__(self, path: str, schema: StructType, overwrite: bool):
+        self.path, self.schema, self.overwrite, self.job = path, schema, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """Shares r, g, b from 0 to 1 become bytes red, green, blue, cut off; other columns keep their type."""
         from pyspark import TaskContext
 
-        batches = list(iterator)
         kind, names = [], {"r": "red", "g": "green", "b": "blue"}
         for c in self.schema:
             byte = c.name in names and isinstance(c.dataType, (FloatType, DoubleType))
             kind.append((names[c.name] if byte else c.name, "u1" if byte else _numpy(c.dataType)))
-        rows = sum(b.num_rows for b in batches)
-        data = np.zeros(rows, np.dtype(kind))
-        at = 0
-        for b in batches:
-            for c, (name, to) in zip(self.schema, kind, strict=True):
-                value = b.column(b.schema.get_field_index(c.name)).to_numpy(zero_copy_only=False)
-                data[name][at : at + b.num_rows] = np.clip(value * 255, 0, 255).astype("u1") if to == "u1" else value
-            at += b.num_rows
-        back = {v: k for k, v in PLY_TYPES.items()}
-        head = "ply\nformat binary_little_endian 1.0\nelement vertex %d\n%send_header\n" % (rows, "".join(f"property {back[t]} {n}\n" for n, t in kind))
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():05d}.ply"
-        with store.open_output_stream(f"{name}.{self.job}") as out:
-            out.write(head.encode())
-            out.write(data.tobytes())
-        return _Written(name, self.job)
+        task, done = TaskContext.get(), _Written([])
+
+        def flush(parts: list[np.ndarray]) -> None:
+            name = f"{root}/part-{self.job}-{task.partitionId():05d}-{len(done.files):05d}.ply"
+            aside = f"{name}.{task.taskAttemptId()}"
+            back = {v: k for k, v in PLY_TYPES.items()}
+            head = "ply\nformat binary_little_endian 1.0\nelement vertex %d\n%send_header\n" % (sum(map(len, parts)), "".join(f"property {back[t]} {n}\n" for n, t in kind))
+            with store.open_output_stream(aside) as out:
+                out.write(head.encode())
+                for rows in parts:
+                    out.write(rows.tobytes())
+            done.files.append((aside, name))
+
+        held: list[np.ndarray] = []
+        for whole in iterator:
+            for first in range(0, whole.num_rows, FILE_ROWS):
+                b = whole.slice(first, FILE_ROWS)
+                if held and sum(map(len, held)) + b.num_rows > FILE_ROWS:
+                    flush(held)
+                    held = []
+                rows = np.zeros(b.num_rows, np.dtype(kind))
+                for c, (name, to) in zip(self.schema, kind, strict=True):
+                    value = b.column(b.schema.get_field_index(c.name)).to_numpy(zero_copy_only=False)
+                    rows[name] = np.clip(value * 255, 0, 255).astype("u1") if to == "u1" else value
+                held.append(rows)
+        if held or not done.files:  # a task without rows leaves the columns' names
+            flush(held)
+        return done
 
     def commit(self, messages: list) -> None:
-        store, _ = _open(self.path)
+        store, root = _open(self.path)
+        if self.overwrite:
+            for x in store.get_file_info(fs.FileSelector(root)):
+                if x.path.endswith(".ply"):
+                    store.delete_file(x.path)
         for m in messages:
-            if m is not None:
-                store.move(f"{m.name}.{m.job}", m.name)
+            for aside, name in m.files if m is not None else []:
+                store.move(aside, name)
 
     def abort(self, messages: list) -> None:
         store, _ = _open(self.path)
         for m in messages:
-            if m is not None:
-                store.delete_file(f"{m.name}.{m.job}")
+            for aside, _ in m.files if m is not None else []:
+                store.delete_file(aside)
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, name: str, job: str):
-        self.name, self.job = name, job
+    """(where a file lies, what it will be called) for each of a task's files."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
 
 class PlyDataSource(DataSource):
@@ -172,4 +197,4 @@ class PlyDataSource(DataSource):
         return PlyReader(self.options["path"], schema, int(self.options.get("every", "1")))
 
     def writer(self, schema: StructType, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], schema)
+        return PlyWriter(self.options["path"], schema, overwrite)

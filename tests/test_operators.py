@@ -220,6 +220,20 @@ def test_cameras_look(spark):
     assert tuple(one(spark, *shapes.affine(move, F.lit(1.0), F.lit(1.0), F.lit(1.0)))) == (6.0, 7.0, 8.0)
 
 
+def test_ply_append_and_overwrite(spark, tmp_path):
+    spark.dataSource.register(PlyDataSource)
+    path = str(tmp_path / "points")
+    points = lambda n, k: spark.range(n).selectExpr("cast(id as float) as x", "cast(id as double) as y").repartition(k)
+    read = lambda: spark.read.format("ply").load(path)
+    points(10, 4).write.format("ply").mode("append").save(path)
+    points(3, 2).write.format("ply").mode("append").save(path)
+    assert sorted(r.x for r in read().collect()) == sorted([*range(10), *range(3)])
+    points(3, 1).write.format("ply").mode("overwrite").save(path)
+    assert sorted(r.x for r in read().collect()) == [0, 1, 2]
+    points(0, 1).write.format("ply").mode("overwrite").save(path)
+    assert read().count() == 0 and read().columns == ["x", "y"]
+
+
 def test_ply_round_trip(spark, tmp_path):
     spark.dataSource.register(PlyDataSource)
     rows = [(float(k), -float(k), 0.5, k % 256 / 255, 0.0, 1.0, k) for k in range(1000)]
