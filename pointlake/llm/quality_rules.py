@@ -6,7 +6,7 @@ regression weighs the rules, most of them with zero, and what is left is compile
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,10 +124,10 @@ class Rule:
             out &= (x[:, j] > threshold) == above
         return out
 
-    def column(self, prefix: str = "") -> Column:
+    def column(self, field: Callable[[str], Column] = F.col) -> Column:
         out = F.lit(True)
         for j, above, threshold in self.conditions:
-            value = F.col(prefix + STATISTICS[j])
+            value = field(STATISTICS[j])
             out = out & ((value > F.lit(threshold)) if above else (value <= F.lit(threshold)))
         return out
 
@@ -140,11 +140,11 @@ class RuleModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.intercept + sum((r.weight * r.holds(x) for r in self.rules), np.zeros(len(x))))
 
-    def column(self, prefix: str = "") -> Column:
-        """The score as an expression over the statistics, columns whose names begin with `prefix`."""
+    def column(self, field: Callable[[str], Column] = F.col) -> Column:
+        """The score as an expression over the statistics, which `field` gives by name."""
         total = F.lit(float(self.intercept))
         for r in self.rules:
-            total = total + F.when(r.column(prefix), F.lit(float(r.weight))).otherwise(F.lit(0.0))
+            total = total + F.when(r.column(field), F.lit(float(r.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -304,5 +304,8 @@ def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> Data
 
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
-    judged = rows.select("row", of.asNondeterministic()(text).alias("s")).where(model.column("s.") >= THRESHOLD)
+    # As a lambda's argument the statistics are read once; as a struct's fields each of the rules would unpack them in
+    # generated code, which makes the driver compile very large classes.
+    score = F.transform(F.array("s"), lambda s: model.column(s.getField))[0]
+    judged = rows.select("row", of.asNondeterministic()(text).alias("s")).where(score >= THRESHOLD)
     return judged.select([F.col("row").getField(k).alias(k) for k in docs.columns])
