@@ -34,6 +34,8 @@ from pointlake.llm.common import batches, column, discard, least_hashed, materia
 HEAD_WORDS = 100_000
 #: Passes over the distinct training words that fit the weights.
 ROUNDS = 1
+#: Words that run through the lattice together.
+POOLED = 8192
 #: Added to every piece's expected count.
 FLOOR = 0.01
 SMOOTH = 0.1
@@ -296,13 +298,25 @@ def _word_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _pooled(it: Iterator[pa.RecordBatch], most: int = POOLED) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together until they have `most` rows: the lattice takes words of a width at once."""
+    held: list[pa.RecordBatch] = []
+    for b in rows_of(it):
+        held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def expected_pieces(counted: DataFrame, lattice: Lattice) -> np.ndarray:
     """Expected number of each piece in the distinct training words: summed by task, then by piece."""
     schema = pa.schema([("piece", pa.int32()), ("e", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.log_weight))
-        for b in rows_of(it):
+        for b in _pooled(it):
             data, start, length = _word_arrays(b)
             total += lattice.run(data, start, length, np.ones(len(start)))[1]
         some = np.flatnonzero(total)
@@ -364,7 +378,7 @@ def score(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "t
     value_schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), *[(f"lp{k}", pa.float64()) for k in each]])
 
     def values(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(it):
+        for b in _pooled(it):
             data, start, length = _word_arrays(b)
             count = column(b, "c").to_numpy()
             with np.errstate(divide="ignore"):
