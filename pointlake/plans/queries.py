@@ -46,7 +46,9 @@ class Tables:
         return self.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("cloud"), part(0).alias("x"), part(1).alias("y"), part(2).alias("z"), part(3).alias("h"))
 
     def cameras(self) -> DataFrame:
-        return self.points().where("id % 25 = 0").select(F.col("id").alias("cam"), "x", "y", "z")
+        """A camera for each supplier, placed by its key."""
+        at = lambda prime: (F.col("s_suppkey") * prime % 1000) * 5e-4 - 0.25
+        return self.supplier.select(F.col("s_suppkey").alias("cam"), at(7919).alias("x"), at(104729).alias("y"), at(1299709).alias("z"))
 
     def line(self) -> DataFrame:
         """A user's events in order, by hours since the year began."""
@@ -61,7 +63,7 @@ class Tables:
 
     def links(self) -> DataFrame:
         """Parts and suppliers as nodes of one graph."""
-        return self.lineitem.where("l_orderkey % 16 = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+        return self.lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
 
     def tagged(self) -> DataFrame:
         """Parts with tags made of their columns."""
@@ -79,21 +81,21 @@ class Tables:
         return self.part.select("p_partkey", "p_size", F.map_from_entries(F.array_compact(listed)).alias("tags"))
 
     def squares(self) -> DataFrame:
-        """Squares and diamonds round every eighth point."""
-        p = self.points().where("id % 8 = 0")
-        ring = F.when(F.col("id") % 16 == 0, shapes.rectangle(F.col("x"), F.col("y"), F.lit(0.1), F.lit(0.06), F.lit(0.0))).otherwise(shapes.circle(F.col("x"), F.col("y"), F.lit(0.05), 4))
-        return p.select(F.col("id").alias("poly"), ring.alias("ring"), F.when(F.col("id") % 16 == 0, F.lit(0.006)).otherwise(F.lit(0.005)).alias("area"))
+        """A rectangle or a diamond round every point."""
+        p = self.points()
+        ring = F.when(F.col("id") % 2 == 0, shapes.rectangle(F.col("x"), F.col("y"), F.lit(0.1), F.lit(0.06), F.lit(0.0))).otherwise(shapes.circle(F.col("x"), F.col("y"), F.lit(0.05), 4))
+        return p.select(F.col("id").alias("poly"), ring.alias("ring"), F.when(F.col("id") % 2 == 0, F.lit(0.006)).otherwise(F.lit(0.005)).alias("area"))
 
     def pixels(self) -> DataFrame:
         return self.lineitem.groupBy((F.col("l_partkey") % 40).alias("px"), (F.col("l_suppkey") % 30).alias("py")).agg(F.round(F.avg("l_quantity"), 3).alias("value")).where("(px + py) % 7 <> 0")
 
 
 P = "p AS (SELECT vec_id AS id, label AS cloud, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS h FROM embeddings)"
-CAMERAS = "cam AS (SELECT id AS cam, x, y, z FROM p WHERE id % 25 = 0)"
+CAMERAS = "cam AS (SELECT s_suppkey AS cam, (s_suppkey * 7919 % 1000) * 5e-4::DOUBLE - 0.25::DOUBLE AS x, (s_suppkey * 104729 % 1000) * 5e-4::DOUBLE - 0.25::DOUBLE AS y, (s_suppkey * 1299709 % 1000) * 5e-4::DOUBLE - 0.25::DOUBLE AS z FROM supplier)"
 LINE = "line AS (SELECT user_id, event_id, (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) / 3600.0 AS t, value AS v FROM events)"
 CAPTURES = "cap AS (SELECT user_id AS dot, strftime(ts, '%Y-%m-%d') AS date, event_id AS id, value FROM events)"
 DOTS = "dots AS (SELECT c_custkey AS node, 1.3::DOUBLE + c_custkey * 1e-5::DOUBLE AS lat, 103.7::DOUBLE + (c_custkey * 7919 % 1000) * 1e-5::DOUBLE AS lon FROM customer)"
-LINKS = "links AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_orderkey % 16 = 1)"
+LINKS = "links AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
 PIXELS = "px AS (SELECT * FROM (SELECT l_partkey % 40 AS px, l_suppkey % 30 AS py, round(avg(l_quantity), 3) AS value FROM lineitem GROUP BY ALL) WHERE (px + py) % 7 <> 0)"
 
 
@@ -270,10 +272,10 @@ def knn8(t):
     return rounded(spatial.k_nearest(p, p, ["id"], XYZ, 8, 0.2, ["id"]).select("id", "id_r", "distance", F.col("rank").cast("long").alias("rank")), "distance")
 
 
-@query(f"WITH {P} SELECT id, id_r, k AS rank FROM (SELECT a.id, b.id AS id_r, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS k FROM p a, p b WHERE a.id % 10 = 3) WHERE k <= 4")
+@query(f"WITH {P} SELECT id, id_r, k AS rank FROM (SELECT a.id, b.id AS id_r, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS k FROM p a, p b) WHERE k <= 4")
 def knn_any(t):
     p = t.points().select("id", *XYZ)
-    return spatial.k_nearest_any(p.where("id % 10 = 3"), p, ["id"], XYZ, 4, 0.1, ["id"], 3.2).select("id", "id_r", F.col("rank").cast("long").alias("rank"))
+    return spatial.k_nearest_any(p, p, ["id"], XYZ, 4, 0.1, ["id"], 3.2).select("id", "id_r", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {P}, n AS (SELECT a.id, b.h, {_FAR} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_FAR}, b.id) AS k FROM p a, p b WHERE {_FAR} <= 0.3::DOUBLE) SELECT id, {r('sum(h / power(d + 0.1, 2)) / sum(1 / power(d + 0.1, 2))')} AS h FROM n WHERE k <= 8 GROUP BY id")
@@ -292,22 +294,22 @@ def shared_cells(t):
     return rounded(spatial.shared_cells(t.points(), "cloud", "x", "y", "h", 0.2, 5), "step")
 
 
-@query(f"WITH {P}, b AS (SELECT id AS box, x - 0.05 AS x0, x + 0.1 AS x1, y - 0.1 AS y0, y + 0.05 AS y1 FROM p WHERE id % 7 = 0) SELECT p.id, b.box FROM p, b WHERE p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1")
+@query(f"WITH {P}, b AS (SELECT id AS box, x - 0.05 AS x0, x + 0.1 AS x1, y - 0.1 AS y0, y + 0.05 AS y1 FROM p) SELECT p.id, b.box FROM p, b WHERE p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1")
 def box_range_join(t):
     x, y = F.col("x"), F.col("y")
-    boxes = t.points().where("id % 7 = 0").select(F.col("id").alias("box"), (x - 0.05).alias("x0"), (x + 0.1).alias("x1"), (y - 0.1).alias("y0"), (y + 0.05).alias("y1"))
+    boxes = t.points().select(F.col("id").alias("box"), (x - 0.05).alias("x0"), (x + 0.1).alias("x1"), (y - 0.1).alias("y0"), (y + 0.05).alias("y1"))
     return spatial.in_box(t.points().select("id", "x", "y"), boxes, 0.1).select("id", "box")
 
 
-_INSIDE = "(CASE WHEN q.id % 16 = 0 THEN abs(p.x - q.x) < 0.05 AND abs(p.y - q.y) < 0.03 ELSE abs(p.x - q.x) + abs(p.y - q.y) < 0.05 END)"
+_INSIDE = "(CASE WHEN q.id % 2 = 0 THEN abs(p.x - q.x) < 0.05 AND abs(p.y - q.y) < 0.03 ELSE abs(p.x - q.x) + abs(p.y - q.y) < 0.05 END)"
 
 
-@query(f"WITH {P}, q AS (SELECT * FROM p WHERE id % 8 = 0) SELECT p.id, q.id AS poly FROM p, q WHERE {_INSIDE}")
+@query(f"WITH {P}, q AS (SELECT * FROM p) SELECT p.id, q.id AS poly FROM p, q WHERE {_INSIDE}")
 def point_in_polygon(t):
     return spatial.in_polygon(t.points().select("id", "x", "y"), t.squares(), cell_m=0.1).select("id", "poly")
 
 
-@query(f"WITH {P}, q AS (SELECT * FROM p WHERE id % 8 = 0) SELECT id, poly FROM (SELECT p.id, q.id AS poly, row_number() OVER (PARTITION BY p.id ORDER BY CASE WHEN q.id % 16 = 0 THEN 0.006 ELSE 0.005 END, q.id) AS k FROM p, q WHERE {_INSIDE}) WHERE k = 1")
+@query(f"WITH {P}, q AS (SELECT * FROM p) SELECT id, poly FROM (SELECT p.id, q.id AS poly, row_number() OVER (PARTITION BY p.id ORDER BY CASE WHEN q.id % 2 = 0 THEN 0.006 ELSE 0.005 END, q.id) AS k FROM p, q WHERE {_INSIDE}) WHERE k = 1")
 def smallest_parent(t):
     found = spatial.in_polygon(t.points().select("id", "x", "y"), t.squares(), cell_m=0.1)
     return found.groupBy("id").agg(F.min_by("poly", F.struct("area", "poly")).alias("poly"))
@@ -319,23 +321,27 @@ def undirected_edges(t):
     return spatial.undirected(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b")
 
 
-@query(f"WITH {LINKS} SELECT a, b FROM links WHERE a % 3 = 0 AND b % 3 = 0")
+@query(f"WITH {LINKS} SELECT a, b FROM links WHERE a IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND b IN (SELECT s_suppkey + 1000000 FROM supplier WHERE s_acctbal > 0)")
 def both_ends(t):
+    """Links between small parts and suppliers with money."""
     links = t.links().distinct()
-    nodes = links.select(F.col("a").alias("n")).union(links.select("b")).where("n % 3 = 0")
+    nodes = t.part.where("p_size <= 25").select(F.col("p_partkey").alias("n")).union(t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey") + 1000000))
     return spatial.both_ends(links, nodes, "n")
 
 
-_OVERLAP = """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.l_orderkey AS o, b.l_orderkey AS other, count(*) AS common FROM s a JOIN s b USING (l_suppkey) WHERE a.l_orderkey % 20 = 1 AND b.l_orderkey % 20 <> 1 GROUP BY 1, 2),
-k AS (SELECT c.*, n.n, row_number() OVER (PARTITION BY o ORDER BY common DESC, other DESC) AS k FROM c JOIN n ON n.l_orderkey = c.o)
-SELECT o AS l_orderkey, other, round(common / n, 6) AS share FROM k WHERE k = 1 AND common >= 0.5 * n"""
+_OVERLAP = """WITH l AS (SELECT DISTINCT o_custkey, l_suppkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+own AS (SELECT DISTINCT o_custkey, l_partkey FROM l), n AS (SELECT o_custkey, count(*) AS n FROM own GROUP BY 1), sold AS (SELECT DISTINCT l_suppkey, l_partkey FROM l),
+c AS (SELECT o_custkey, l_suppkey AS other, count(*) AS common FROM own JOIN sold USING (l_partkey) GROUP BY 1, 2),
+k AS (SELECT c.*, n.n, row_number() OVER (PARTITION BY o_custkey ORDER BY common DESC, other DESC) AS k FROM c JOIN n USING (o_custkey))
+SELECT o_custkey, other, round(common / n, 6) AS share FROM k WHERE k = 1 AND common >= 0.4 * n"""
 
 
 @query(_OVERLAP)
 def array_overlap_best(t):
-    sets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
-    return rounded(spatial.best_overlap(sets.where("l_orderkey % 20 = 1"), sets.where("l_orderkey % 20 <> 1"), "l_orderkey", "items", "l_orderkey", 0.5), "share")
+    """For each customer the supplier who sells most of the parts they bought, if that is two fifths of them."""
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.collect_set("l_partkey").alias("items"))
+    sold = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("items"))
+    return rounded(spatial.best_overlap(bought, sold, "o_custkey", "items", "l_suppkey", 0.4), "share")
 
 
 # Ordered rows.
@@ -573,18 +579,18 @@ def depth_buffer(t):
 
 
 
-@query("WITH RECURSIVE links AS (SELECT DISTINCT c_custkey AS a, c_custkey * 7 % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT a AS s, b AS t FROM links UNION SELECT b, a FROM links), walk(node, reach) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT walk.node, e.t FROM walk JOIN e ON e.s = walk.reach) SELECT node, min(reach) AS component FROM walk GROUP BY 1")
+@query("WITH RECURSIVE links AS (SELECT DISTINCT c_custkey AS a, c_custkey * 7 % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer), e AS (SELECT a AS s, b AS t FROM links UNION SELECT b, a FROM links), walk(node, reach) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT walk.node, e.t FROM walk JOIN e ON e.s = walk.reach) SELECT node, min(reach) AS component FROM walk GROUP BY 1")
 def components(t):
     most = t.customer.agg(F.max("c_custkey")).first()[0] + 1
-    edges = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % most).alias("b"))
+    edges = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % most).alias("b"))
     return graph.components(t.customer, "c_custkey", edges)
 
 
-@query("WITH RECURSIVE m AS (SELECT max(c_custkey) + 1 AS n FROM customer), e AS (SELECT c_custkey AS s, c_custkey * 7 % n AS t FROM customer, m UNION SELECT c_custkey * 7 % n, c_custkey FROM customer, m), walk(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.t, walk.hops + 1 FROM walk JOIN e ON e.s = walk.node WHERE walk.hops < 6) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey // 3 AS t FROM customer UNION SELECT c_custkey // 3, c_custkey FROM customer), walk(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.t, walk.hops + 1 FROM walk JOIN e ON e.s = walk.node WHERE walk.hops < (SELECT 2 * ceil(log(max(c_custkey) + 2) / log(3)) + 2 FROM customer)) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY 1")
 def reachability(t):
-    most = t.customer.agg(F.max("c_custkey")).first()[0] + 1
-    edges = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % most).alias("b"))
-    return graph.reached(t.customer.where("c_custkey = 1").select(F.col("c_custkey").alias("node")), edges, most_rounds=6)
+    """From customer 1 over a tree in which c hangs on c / 3, to its end; the SQL's bound is above the tree's diameter."""
+    edges = t.customer.select(F.col("c_custkey").alias("a"), F.floor(F.col("c_custkey") / 3).alias("b"))
+    return graph.reached(t.customer.where("c_custkey = 1").select(F.col("c_custkey").alias("node")), edges)
 
 
 # Fits and palettes.
@@ -641,7 +647,7 @@ def dense_index(t):
 # Generated rows and composed plans.
 
 
-@query(f"WITH {P}, q AS (SELECT id FROM p WHERE id % 8 = 0) SELECT id AS poly, CAST(unnest(range(0, 4)) AS INTEGER) AS edge FROM q")
+@query(f"WITH {P}, q AS (SELECT id FROM p) SELECT id AS poly, CAST(unnest(range(0, 4)) AS INTEGER) AS edge FROM q")
 def wall_quads(t):
     outlines = t.squares().withColumns({"base_m": F.lit(0.0), "height_m": F.lit(3.0)})
     return generate.walls(outlines, "poly").select("poly", "edge")
