@@ -24,12 +24,15 @@ def bilinear(points: DataFrame, raster: DataFrame, x: str, y: str, value: str, n
 
 def smoothed(cells: DataFrame, value: str, sigma: float, name: str, only_known: bool = True) -> DataFrame:
     """Gaussian smoothing of a sparse raster (i, j, value), normalised by the weight of the cells there are; with
-    only_known false also cells without a value but near one."""
+    only_known false also cells without a value but near one. The kernel is a product, so one pass goes along i and one
+    along j: a cell has rows in proportion to its reach, not to the square of it."""
     reach = int(4 * sigma + 0.5)
-    kernel = [(a, b, math.exp(-(a * a + b * b) / (2 * sigma * sigma))) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in kernel])
-    given = cells.where(F.col(value).isNotNull()).withColumn("o", F.explode(offsets)).select((F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.col("o.w").alias("w"), F.col(value).alias("__v"))
-    out = given.groupBy("i", "j").agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias(name))
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(math.exp(-a * a / (2 * sigma * sigma))).alias("w")) for a in range(-reach, reach + 1)])
+    sums = cells.where(F.col(value).isNotNull()).select("i", "j", F.col(value).cast("double").alias("__v"), F.lit(1.0).alias("__n"))
+    for axis in ("i", "j"):
+        spread = sums.withColumn("o", F.explode(offsets)).withColumn(axis, F.col(axis) + F.col("o.a"))
+        sums = spread.groupBy("i", "j").agg(*[F.sum(F.col("o.w") * F.col(k)).alias(k) for k in ("__v", "__n")])
+    out = sums.select("i", "j", (F.col("__v") / F.col("__n")).alias(name))
     return cells.join(out, ["i", "j"], "left" if only_known else "outer")
 
 
