@@ -368,20 +368,27 @@ def _whole_groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
 
 
 def candidates(links: DataFrame, min_words: int = MIN_WORDS, enough: int = ENOUGH) -> DataFrame:
-    """Pairs (doc_id, other_id, n) with n links that `enough` functions agree on."""
+    """Pairs (doc_id, other_id, n) with n links that `enough` functions agree on. Links with place2 and other_place2
+    stand for two windows each; of those, equal ones count once."""
+    paired = "place2" in links.columns
+    names = ["doc_id", "other_id", "place", "other_place", *(["place2", "other_place2"] if paired else [])]
     least, schema = min_words - SHINGLE + 1, pa.schema([("doc_id", pa.int64()), ("other_id", pa.int64()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_groups(it, ["doc_id", "other_id", "place", "other_place"]):
+        for x in _whole_groups(it, names):
             fresh = np.concatenate([[True], (x["doc_id"][1:] != x["doc_id"][:-1]) | (x["other_id"][1:] != x["other_id"][:-1])])
-            group = np.cumsum(fresh) - 1
-            found, n = np.unique(group[agreeing(x["place"], x["other_place"], group, least, enough)], return_counts=True)
+            group, place, other = np.cumsum(fresh) - 1, x["place"], x["other_place"]
+            if paired:
+                links_ = np.stack([np.tile(group, 2), np.concatenate([place, x["place2"]]), np.concatenate([other, x["other_place2"]])])
+                links_ = links_[:, np.lexsort(links_[::-1])]
+                group, place, other = links_[:, np.concatenate([[True], (links_[:, 1:] != links_[:, :-1]).any(axis=0)])]
+            found, n = np.unique(group[agreeing(place, other, group, least, enough)], return_counts=True)
             at = np.flatnonzero(fresh)[found]
             yield batches({"doc_id": x["doc_id"][at], "other_id": x["other_id"][at], "n": n}, schema)
         tidy()
 
-    rows = links.select("doc_id", "other_id", "place", "other_place")
-    return rows.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "place").mapInArrow(run, "doc_id long, other_id long, n long")
+    order = ["doc_id", "other_id"] if paired else ["doc_id", "other_id", "place"]
+    return links.select(*names).repartition("doc_id", "other_id").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, other_id long, n long")
 
 
 def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -406,10 +413,11 @@ def sharper(windows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def sharper_links(signs: DataFrame) -> DataFrame:
-    """(doc_id, other_id, place, other_place): the windows of documents with an open signature, with those of the
-    smallest and of the preceding document that has it. A signature whose rows reach over several tasks starts anew in
+    """(doc_id, other_id, place, place2, other_place, other_place2): the two windows of documents with an open signature,
+    with those of the smallest and of the preceding document that has it. A signature whose rows reach over several tasks starts anew in
     each of them, beginning with its smallest."""
-    schema = pa.schema([(k, pa.int64()) for k in ("doc_id", "other_id", "place", "other_place")])
+    names = ("doc_id", "other_id", "place", "place2", "other_place", "other_place2")
+    schema = pa.schema([(k, pa.int64()) for k in names])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, first, last = None, None, None
@@ -422,13 +430,14 @@ def sharper_links(signs: DataFrame) -> DataFrame:
             fresh = np.concatenate([[True], s[1:] != s[:-1]])
             at = np.arange(len(s))
             head = np.maximum.accumulate(np.where(fresh, at, 0))
-            for other in (head, np.maximum(at - 1, 0)):
-                keep = np.flatnonzero(o & (s[other] == s) & (rows[0, other] < rows[0]) & (rows[0, other] != rows[3]))
-                for k in (1, 2):
-                    yield batches({"doc_id": rows[0, keep], "other_id": rows[0, other[keep]], "place": rows[k, keep], "other_place": rows[k, other[keep]]}, schema)
+            before = np.maximum(at - 1, 0)
+            for other, able in ((head, o), (before, o & (before != head))):
+                keep = np.flatnonzero(able & (s[other] == s) & (rows[0, other] < rows[0]) & (rows[0, other] != rows[3]))
+                far = other[keep]
+                yield batches(dict(zip(names, (rows[0, keep], rows[0, far], rows[1, keep], rows[2, keep], rows[1, far], rows[2, far]), strict=True)), schema)
             sign, first, last = s[-1], rows[:, head[-1]], rows[:, -1]
 
-    return signs.repartitionByRange("sign", "doc_id").sortWithinPartitions("sign", "doc_id").mapInArrow(run, "doc_id long, other_id long, place long, other_place long")
+    return signs.repartitionByRange("sign", "doc_id").sortWithinPartitions("sign", "doc_id").mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def passages(match: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -549,8 +558,9 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
         queue += map(tuple, short[enough].tolist())
     if not queue:
         return []
-    kinds, number = np.unique(np.concatenate([own, other]), return_inverse=True)
-    mark, own_kind, other_kind = np.zeros(len(kinds), bool), number[: len(own)], number[len(own) :]
+    if min(q[2] for q in queue) < similarity * least:  # else the seeds are enough by themselves
+        kinds, number = np.unique(np.concatenate([own, other]), return_inverse=True)
+        mark, own_kind, other_kind = np.zeros(len(kinds), bool), number[: len(own)], number[len(own) :]
     out: list[tuple[int, int, int, float]] = []
     covered, failed = np.zeros(len(own), bool), set()
     begin, shift = np.array([q[0] for q in queue]), np.array([q[1] - q[0] for q in queue])
@@ -566,9 +576,11 @@ def aligned(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -
             seen = part.tobytes(), around.tobytes(), i - low, j - other_low
             if seen in failed:
                 break
-            mark[other_kind[other_low:other_high]] = True
-            able = np.count_nonzero(mark[own_kind[low:high]]) >= similarity * least
-            mark[other_kind[other_low:other_high]] = False
+            able = n >= similarity * least
+            if not able:
+                mark[other_kind[other_low:other_high]] = True
+                able = np.count_nonzero(mark[own_kind[low:high]]) >= similarity * least
+                mark[other_kind[other_low:other_high]] = False
             tried = passages(_nearest(part, around, j - other_low - (i - low)), least, similarity) if able else []
             got = [(s + low, length, at + other_low, same) for s, length, at, same in tried if s + low < i + n and i < s + low + length]
             if not got:
@@ -652,14 +664,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     def check(pairs: DataFrame, name: str) -> DataFrame:
         own, other = (MemberFilter.build(pairs.select(k), k).perhaps(F.col("doc_id")) for k in ("doc_id", "other_id"))
         others = rows.where(other).select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-        return kept(verified(pairs.select("doc_id", "other_id").join(rows.where(own), "doc_id").join(others, "other_id"), min_words, similarity), name)
+        # Pairs grow with the table, so they are merged at every size rather than broadcast while they are few.
+        both = pairs.select("doc_id", "other_id").join(rows.where(own).hint("merge"), "doc_id").join(others.hint("merge"), "other_id")
+        return kept(verified(both, min_words, similarity), name)
 
     def still_open(windows: DataFrame, found: DataFrame) -> DataFrame:
         """windows with `open`: whether they are linked and no passage covers their centre."""
         cover = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("cover"))
         at = F.shiftright("place", 24)
         covered = F.exists("cover", lambda p: (p.start_word <= at) & (at + SHINGLE <= p.start_word + p.n_words))
-        return windows.join(cover, "doc_id", "left").withColumn("open", F.col("other_id").isNotNull() & ~F.coalesce(covered, F.lit(False))).drop("cover")
+        return windows.join(cover.hint("merge"), "doc_id", "left").withColumn("open", F.col("other_id").isNotNull() & ~F.coalesce(covered, F.lit(False))).drop("cover")
 
     # First with the document that most windows are linked to, as what it covers needn't be compared with others.
     every = kept(candidates(met.where("other_id is not null"), min_words, enough), "pairs")
@@ -672,7 +686,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     # Of a minimum that two documents have, these have been compared.
     state = state.where("many")
-    pool = state.join(state.where("open").select("key").distinct(), "key", "left_semi").select("key", "doc_id", "place", F.coalesce("other_id", F.lit(_NONE)).alias("other_id"), "open")
+    pool = state.join(state.where("open").select("key").distinct().hint("merge"), "key", "left_semi").select("key", "doc_id", "place", F.coalesce("other_id", F.lit(_NONE)).alias("other_id"), "open")
     signs, signs_path = materialise(sharper(pool, min_words), "signs")
     discard(spark, state_path)
     third = candidates(sharper_links(signs), min_words, min(functions, enough + 1))
