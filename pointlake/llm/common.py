@@ -21,11 +21,14 @@ from pyspark.sql.functions import arrow_udf
 
 #: Text handed to numpy at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: An Arrow batch on its way to Python ends where it is beyond so many bytes.
+BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Keep the Arrow batches that reach Python small, as texts can be very long, and give executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     _ship(spark)
 
 

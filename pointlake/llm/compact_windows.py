@@ -42,6 +42,8 @@ HELD = 64
 PACKED, BUCKET_BYTES = 1 << 19, 4 << 20
 #: Buckets where the input's size isn't known.
 UNKNOWN_BUCKETS = 1 << 10
+#: About how many windows of a bucket are sorted at once.
+PORTION = 1 << 16
 #: A window's reach to either side is kept up to so many tokens.
 REACH = 255
 #: Stands for no document.
@@ -268,6 +270,16 @@ def meetings(packed: DataFrame) -> DataFrame:
     place, and other_place words."""
     schema = pa.schema([*[(k, pa.int64()) for k in ("key", "doc_id", "place", "other_id", "other_place")], ("many", pa.bool_())])
 
+    def portions(parts: list) -> Iterator[list]:
+        """A bucket's windows by ranges of keys, which ascend in each part: the same key is in one portion only."""
+        number = -(-sum(len(x[0]) for x in parts) // PORTION)
+        low, high = min(int(x[0][0]) for x in parts), max(int(x[0][-1]) for x in parts)
+        border = np.array([low + (high - low) * k // number for k in range(1, number)], np.uint64)
+        cuts = [[0, *np.searchsorted(x[0], border).tolist(), len(x[0])] for x in parts]
+        for k in range(number):
+            if got := [tuple(y[c[k] : c[k + 1]] for y in x) for x, c in zip(parts, cuts, strict=True) if c[k] < c[k + 1]]:
+                yield got
+
     def together(parts: list) -> pa.RecordBatch | None:
         key, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((place, doc, key))
@@ -295,8 +307,7 @@ def meetings(packed: DataFrame) -> DataFrame:
             each = zip(*(column(b, k).to_pylist() for k in ("bucket", "kind", "n", "data")), strict=True)
             for now, kind, n, data in each:
                 if now != bucket and parts:
-                    if (out := together(parts)) is not None:
-                        yield out
+                    yield from (out for x in portions(parts) if (out := together(x)) is not None)
                     parts = []
                 bucket = now
                 if kind == 0:
@@ -307,8 +318,8 @@ def meetings(packed: DataFrame) -> DataFrame:
                     yield batches({**dict(zip(schema.names, x, strict=False)), "many": np.ones(n, bool)}, schema)
                 else:
                     yield batches({"key": pa.nulls(n, pa.int64()), "doc_id": x[0], "place": x[1], "other_id": x[3], "other_place": x[2], "many": np.zeros(n, bool)}, schema)
-        if parts and (out := together(parts)) is not None:
-            yield out
+        if parts:
+            yield from (out for x in portions(parts) if (out := together(x)) is not None)
         tidy()
 
     number = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
