@@ -22,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 #: Text handed to numpy at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: An Arrow batch on its way to Python ends where it is beyond so many bytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
