@@ -98,16 +98,17 @@ def resample(points: DataFrame, by: Sequence[str], order: Sequence[str], coords:
     return made.unionByName(ends)
 
 
-def interpolate(queries: DataFrame, lines: DataFrame, by: Sequence[str], at: str, x: str, value: str) -> DataFrame:
+def interpolate(queries: DataFrame, lines: DataFrame, by: Sequence[str], at: str, x: str, value: str, reached: str | None = None) -> DataFrame:
     """Values of piecewise linear lines at places; beyond a line's ends its end values. Queries meet only the one side
-    that holds them, by a running maximum over both, not by a join on a range."""
+    that holds them, by a running maximum over both, not by a join on a range. Where a line jumps, `reached` is the column
+    of the value it comes to a place with, and `value` the one it has there and goes on with."""
     w = Window.partitionBy(*by).orderBy("__x", "__q")
-    both = queries.withColumn("__x", F.col(at)).withColumn("__q", F.lit(1)).unionByName(lines.select(*by, F.col(x).alias("__x"), F.col(value).alias("__v"), F.lit(0).alias("__q")), allowMissingColumns=True)
-    known = F.when(F.col("__q") == 0, F.struct("__x", "__v"))
+    both = queries.withColumn("__x", F.col(at)).withColumn("__q", F.lit(1)).unionByName(lines.select(*by, F.col(x).alias("__x"), F.col(value).alias("__v"), F.col(reached or value).alias("__r"), F.lit(0).alias("__q")), allowMissingColumns=True)
+    known = F.when(F.col("__q") == 0, F.struct("__x", "__v", "__r"))
     placed = both.withColumn("__a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     a, b = F.col("__a"), F.col("__b")
-    between = a["__v"] + (b["__v"] - a["__v"]) * (F.col("__x") - a["__x"]) / (b["__x"] - a["__x"])
-    out = F.when(a.isNull(), b["__v"]).when(b.isNull() | (a["__x"] == F.col("__x")), a["__v"]).otherwise(between)
+    between = a["__v"] + (b["__r"] - a["__v"]) * (F.col("__x") - a["__x"]) / (b["__x"] - a["__x"])
+    out = F.when(a.isNull(), b["__r"]).when(b.isNull() | (a["__x"] == F.col("__x")), a["__v"]).otherwise(between)
     return placed.where("__q = 1").select(*queries.columns, out.alias(value))
 
 
