@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointlake.llm import compact_windows, quality_rules, simhash_pivot, slack_packing
 from pointlake.llm.common import materialise
 
-#: Pieces of text that a packing worker keeps encoded: few, as workers of the stages before stay in memory.
+#: Pieces of text that a packing worker keeps encoded, to the end of its task: few, as workers of all stages stay in memory.
 REMEMBERED = 150_000
 
 
@@ -32,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return slack_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, remembered=REMEMBERED)
+    return slack_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, remembered=REMEMBERED, keep=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]

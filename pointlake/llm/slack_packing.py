@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.common import batches, column, rows_of, texts, tidy, tune
-from pointlake.llm.token_cache import REMEMBERED, library_encoder
+from pointlake.llm.token_cache import REMEMBERED, forget, library_encoder
 
 CAPACITY = 2048
 #: Rests that wait at a time: enough for an exact filling almost always, few enough that a step of the program is short.
@@ -133,12 +133,13 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are encoded by the tokenizers file, with end_id after each; null and empty texts are that id alone.
     Every partition packs its own rows, so nothing is shuffled; a sequence's id holds the partition's number in its
-    upper bits. remembered: pieces of text a worker keeps encoded. Repeated rows are packed as often, a null id stays null; other columns of docs don't matter."""
+    upper bits. remembered: pieces of text a worker keeps encoded; keep: for its next task
+    too, so that a worker that waits holds them as well. Repeated rows are packed as often, a null id stays null; other columns of docs don't matter."""
     tune(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +152,9 @@ def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY,
             yield packer.taken()
         packer.end()
         yield packer.taken()
+        if not keep:
+            del encoder
+            forget(file)
         tidy()
 
     kinds = ", ".join(f"`{f.name}` long" for f in PIECE)

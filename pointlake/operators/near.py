@@ -59,6 +59,26 @@ def _kernels(d: int, k: int):
     return apart, bound, box_range
 
 
+def _packing(d: int):
+    """Left places as compressed bytes on their way to a block, several times smaller than as rows."""
+
+    def packed(ids: np.ndarray, at: np.ndarray, u: np.ndarray) -> bytes:
+        """ids ascend. Bytes of equal weight lie together, as most are alike; bounds, which may be wider but not beyond
+        the widest, are rounded up to a single's bits."""
+        short = u.astype(np.float32)
+        short = np.where(short < u, np.nextafter(short, np.float32(np.inf)), short)
+        lanes = [np.diff(ids, prepend=0), *at.T, np.minimum(short.astype(float), u.max())]
+        raw = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.ravel() for x in lanes])
+        return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+    def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(pa.decompress(data, n * 8 * (d + 2), codec="zstd", asbytes=True), np.uint8).reshape(d + 2, 8, n)
+        ids, *at, u = (np.ascontiguousarray(x.T).view(np.int64 if not i else float).ravel() for i, x in enumerate(raw))
+        return np.cumsum(ids), np.stack(at, axis=1), u
+
+    return packed, unpacked
+
+
 def _placed(left: DataFrame, right: DataFrame, cs: Sequence[str], k: int, radius: float, tasks: int) -> DataFrame:
     """Both sides' places in the order of a Z curve, written: side (0 left, 1 right), id, coordinates, n, the block of a
     right place and the bound of a left one."""
@@ -106,6 +126,7 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
     """(__l, __r, distance): ids of places, every pair that can be among the k nearest."""
     d = len(cs)
     apart, bound, box_range = _kernels(d, k)
+    packed, unpacked = _packing(d)
     rights = placed.where("side = 1")
     boxes = rights.groupBy("block").agg(*[F.min(c) for c in cs], *[F.max(c) for c in cs], F.sum("n")).collect()
     names = np.array([b[0] for b in boxes], np.int64)
@@ -126,11 +147,10 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
                 box, row = np.nonzero((least <= u[:, None]).T)
                 if not len(box):
                     continue
-                used, count = np.unique(box, return_counts=True)
+                used, first, count = np.unique(box, return_index=True, return_counts=True)
                 ids = part.column(0).to_numpy()
-                asked = pa.StructArray.from_arrays([pa.array(x) for x in (ids[row], *at[row].T, u[row])], names=["id", *cs, "u"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), asked)
-                yield pa.RecordBatch.from_arrays([pa.array(names[close[used]]), lists], names=["block", "asks"])
+                asks = [packed(ids[r], at[r], u[r]) for r in np.split(row, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(names[close[used]]), pa.array(count.astype(np.int32)), pa.array(asks, pa.binary())], names=["block", "m", "asks"])
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def opened(column):
@@ -140,13 +160,13 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["__l", "__r", "distance"])
 
         for b in it:
-            (a_at, (a_id, *a_xs, a_u)), (b_at, (b_id, *b_xs, b_n)) = opened(b.column(0)), opened(b.column(1))
+            b_at, (b_id, *b_xs, b_n) = opened(b.column(2))
             out, held = [], 0
             for i in range(b.num_rows):
-                p, q = slice(a_at[i], a_at[i + 1]), slice(b_at[i], b_at[i + 1])
-                far = apart(np.stack([x[p] for x in a_xs], axis=1), np.stack([x[q] for x in b_xs], axis=1))
-                row, col = np.nonzero(far <= bound(far, b_n[q], a_u[p])[:, None])
-                out.append((a_id[p][row], b_id[q][col], far[row, col]))
+                (ids, at, u), q = unpacked(b.column(1)[i].as_py(), b.column(0)[i].as_py()), slice(b_at[i], b_at[i + 1])
+                far = apart(at, np.stack([x[q] for x in b_xs], axis=1))
+                row, col = np.nonzero(far <= bound(far, b_n[q], u)[:, None])
+                out.append((ids[row], b_id[q][col], far[row, col]))
                 held += len(row)
                 if held > 100000:
                     yield closed(out)
@@ -154,10 +174,9 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
             if out:
                 yield closed(out)
 
-    kinds = ", ".join(f"{c}: double" for c in cs)
-    asks = placed.where("side = 0").select("id", *cs, "u").mapInArrow(ask, f"block long, asks array<struct<id: long, {kinds}, u: double>>").repartition(tasks, "block")
+    asks = placed.where("side = 0").select("id", *cs, "u").mapInArrow(ask, "block long, m int, asks binary").repartition(tasks, "block")
     held = rights.groupBy("block").agg(F.collect_list(F.struct("id", *cs, "n")).alias("has"))
-    return asks.join(held, "block").select("asks", "has").mapInArrow(compare, "__l long, __r long, distance double")
+    return asks.join(held, "block").select("m", "asks", "has").mapInArrow(compare, "__l long, __r long, distance double")
 
 
 def ranked(left: DataFrame, right: DataFrame, coords: Sequence[str], k: int, radius: float, ties: Sequence[str], suffix: str = "_r") -> tuple[DataFrame, DataFrame]:
