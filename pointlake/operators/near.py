@@ -2,10 +2,11 @@
 
 In a dense cloud a radius holds a large share of all points, so pairs grow with the square of the table. Here distinct
 places of both sides are laid along a Z curve; the right side's places in a row make blocks of at most 256, and each
-left place gets a bound from the right places just before it on the curve: no nearest row sought is beyond it. Places
+left place gets a bound from the right places about it on the curve: no nearest row sought is beyond it. Places
 are then compared only with blocks whose box is within the bound, by arrays, and each such pair gives no more rows than
 can be among the k. A place counts as often as it has rows (k at most), so copies don't multiply. The result is exact
-for any distribution; order along the curve only decides how much is compared.
+for any distribution; order along the curve only decides how much is compared. Blocks hold the right rows' columns too,
+so rows found are moved once, to their left place; what is summed up over them is best summed up there, by place.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pointlake.plans.steps import written
 
@@ -106,13 +108,16 @@ def _placed(left: DataFrame, right: DataFrame, cs: Sequence[str], k: int, radius
             at = np.stack([b.column(i).to_numpy() for i in range(d)], axis=1)
             side, n = b.column(d).to_numpy(), b.column(d + 1).to_numpy()
             u = np.full(len(side), float(radius))
+            is_right, old = side == 1, len(seen)
+            seen, times = np.concatenate([seen, at[is_right]]), np.concatenate([times, n[is_right]])
+            so_far = old + np.cumsum(is_right)
             for s in range(0, len(side), block):
                 part = slice(s, s + block)
-                is_right = side[part] == 1
-                seen, times = np.concatenate([seen, at[part][is_right]])[-2 * block :], np.concatenate([times, n[part][is_right]])[-2 * block :]
-                asks = np.flatnonzero(~is_right) + s
+                asks = np.flatnonzero(~is_right[part]) + s
+                about = slice(max(0, so_far[s] - block), so_far[part][-1] + block)  # of this batch and the last one's end
                 if len(asks):
-                    u[asks] = bound(apart(at[asks], seen), times, u[asks])
+                    u[asks] = bound(apart(at[asks], seen[about]), times[about], u[asks])
+            seen, times = seen[-block:], times[-block:]
             places = rights + np.cumsum(side) - side
             ids = first + rows + np.arange(len(side))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (side, ids, *at.T, n, first + places // block, u)], names=["side", "id", *cs, "n", "block", "u"])
@@ -122,8 +127,10 @@ def _placed(left: DataFrame, right: DataFrame, cs: Sequence[str], k: int, radius
     return written(ordered.drop("z").mapInArrow(run, f"side int, id long, {kinds}, n long, block long, u double"))
 
 
-def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFrame:
-    """(__l, __r, distance): ids of places, every pair that can be among the k nearest."""
+def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int, rows: DataFrame | None = None) -> DataFrame:
+    """__l, columns of rows, distance: for each left place every row that can be among the k nearest. rows: block, id and
+    coordinates of a right place, for how many it counts (n) and what columns more are wanted; else it is the place's id,
+    as __r."""
     d = len(cs)
     apart, bound, box_range = _kernels(d, k)
     packed, unpacked = _packing(d)
@@ -132,6 +139,9 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
     names = np.array([b[0] for b in boxes], np.int64)
     table = np.array([list(b[1:]) for b in boxes], float).reshape(len(boxes), 2 * d + 1)
     lo, hi, full = table[:, :d], table[:, d : 2 * d], table[:, 2 * d] >= k
+    rows = rights.select("block", "id", *cs, "n", F.col("id").alias("__r")) if rows is None else rows
+    wanted = [f for f in rows.schema if f.name not in ("block", "id", *cs, "n")]
+    names_out = ["__l", *[f.name for f in wanted], "distance"]
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The left places that each block has to be compared with, 512 at a time."""
@@ -154,45 +164,60 @@ def _pairs(placed: DataFrame, cs: Sequence[str], k: int, tasks: int) -> DataFram
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def opened(column):
-            return column.offsets.to_numpy(), [f.to_numpy() for f in column.values.flatten()]
+            flat = column.values.flatten()
+            return column.offsets.to_numpy(), [f.to_numpy() for f in flat[: d + 2]], flat[d + 2 :]
 
-        def closed(out):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["__l", "__r", "distance"])
+        def closed(out, more):
+            left, at, far = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(left), *[x.take(pa.array(at)) for x in more], pa.array(far)], names=names_out)
 
         for b in it:
-            b_at, (b_id, *b_xs, b_n) = opened(b.column(2))
+            b_at, (b_id, *b_xs, b_n), more = opened(b.column(2))
             out, held = [], 0
             for i in range(b.num_rows):
                 (ids, at, u), q = unpacked(b.column(1)[i].as_py(), b.column(0)[i].as_py()), slice(b_at[i], b_at[i + 1])
-                far = apart(at, np.stack([x[q] for x in b_xs], axis=1))
-                row, col = np.nonzero(far <= bound(far, b_n[q], u)[:, None])
-                out.append((ids[row], b_id[q][col], far[row, col]))
-                held += len(row)
+                order = np.argsort(b_id[q], kind="stable")  # the rows of a place together
+                _, start, count = np.unique(b_id[q][order], return_index=True, return_counts=True)
+                far = apart(at, np.stack([x[q][order][start] for x in b_xs], axis=1))
+                row, col = np.nonzero(far <= bound(far, np.add.reduceat(b_n[q][order], start), u)[:, None])
+                times = count[col]
+                of = np.repeat(start[col] + times - np.cumsum(times), times) + np.arange(times.sum())
+                out.append((ids[row].repeat(times), b_at[i] + order[of], far[row, col].repeat(times)))
+                held += len(of)
                 if held > 100000:
-                    yield closed(out)
+                    yield closed(out, more)
                     out, held = [], 0
             if out:
-                yield closed(out)
+                yield closed(out, more)
 
     asks = placed.where("side = 0").select("id", *cs, "u").mapInArrow(ask, "block long, m int, asks binary").repartition(tasks, "block")
-    held = rights.groupBy("block").agg(F.collect_list(F.struct("id", *cs, "n")).alias("has"))
-    return asks.join(held, "block").select("m", "asks", "has").mapInArrow(compare, "__l long, __r long, distance double")
+    held = rows.groupBy("block").agg(F.collect_list(F.struct("id", *cs, "n", *[f.name for f in wanted])).alias("has"))
+    kinds = StructType([StructField("__l", LongType()), *wanted, StructField("distance", DoubleType())])
+    return asks.join(held, "block").select("m", "asks", "has").mapInArrow(compare, kinds)
+
+
+def _sides(left: DataFrame, right: DataFrame, coords: Sequence[str], suffix: str) -> tuple[list[str], DataFrame, DataFrame, str]:
+    """Names of the coordinates as doubles, left and right (with the suffix) with them, and what finds rows with a place."""
+    cs = [f"__c{i}" for i in range(len(coords))]
+    own = left.withColumns({n: F.col(c).cast("double") for n, c in zip(cs, coords, strict=True)})
+    other = right.select(*[F.col(c).alias(f"{c}{suffix}") for c in right.columns], *[F.col(c).cast("double").alias(n) for n, c in zip(cs, coords, strict=True)])
+    return cs, own, other, " AND ".join(f"abs({c}) < double('infinity')" for c in cs)
+
+
+def _with_place(own: DataFrame, placed: DataFrame, cs: Sequence[str]) -> DataFrame:
+    return own.join(placed.where("side = 0").select(F.col("id").alias("__l"), *cs), cs, "left").drop(*cs)
 
 
 def ranked(left: DataFrame, right: DataFrame, coords: Sequence[str], k: int, radius: float, ties: Sequence[str], suffix: str = "_r") -> tuple[DataFrame, DataFrame]:
     """left with the id `__l` of each row's place (null without one), and the rows of right (with the suffix) that are the
     k nearest of each place within radius: __l, right's columns, distance, rank from 1. Equally near ones are ordered by
     `ties`; rows with a null or non-finite coordinate match nothing."""
-    cs = [f"__c{i}" for i in range(len(coords))]
+    cs, own, other, finite = _sides(left, right, coords, suffix)
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = left.withColumns({n: F.col(c).cast("double") for n, c in zip(cs, coords, strict=True)})
-    other = right.select(*[F.col(c).alias(f"{c}{suffix}") for c in right.columns], *[F.col(c).cast("double").alias(n) for n, c in zip(cs, coords, strict=True)])
-    finite = " AND ".join(f"abs({c}) < double('infinity')" for c in cs)
     names = [f"{t}{suffix}" for t in ties]
     least = other.where(finite).withColumn("__k", F.row_number().over(Window.partitionBy(*cs).orderBy(*names))).where(F.col("__k") <= k).drop("__k")
     placed = _placed(own.where(finite).select(*cs).distinct(), least.groupBy(*cs).agg(F.count("*").alias("n")), cs, k, radius, tasks)
-    ids = lambda side, name: placed.where(F.col("side") == side).select(F.col("id").alias(name), *cs)
-    rows = least.join(ids(1, "__r"), cs).drop(*cs)
-    near = _pairs(placed, cs, k, tasks).join(rows, "__r").drop("__r")
+    rows = least.withColumn("n", F.lit(1).cast("long")).join(placed.where("side = 1").select("block", "id", *cs), cs)
+    near = _pairs(placed, cs, k, tasks, rows)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("__l").orderBy("distance", *names))).where(F.col("rank") <= k)
-    return own.join(ids(0, "__l"), cs, "left").drop(*cs), best.select("__l", *[f"{c}{suffix}" for c in right.columns], "distance", "rank")
+    return _with_place(own, placed, cs), best.select("__l", *[f"{c}{suffix}" for c in right.columns], "distance", "rank")
