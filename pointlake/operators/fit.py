@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pointlake.operators import near
+
 
 def rigid(source: np.ndarray, target: np.ndarray, weight: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """The rotation and move that take scaled source places closest to targets, by weighted least squares."""
@@ -76,6 +78,12 @@ def normals(neighbours: DataFrame, key: Sequence[str], coords: Sequence[str] = (
     return moments.where("n >= 3").select(*key, least(F.struct(*[f"m{k}" for k in range(6)])).alias("normal"))
 
 
+def point_normals(points: DataFrame, key: Sequence[str], coords: Sequence[str], k: int, radius: float, ties: Sequence[str]) -> DataFrame:
+    """The normal of each point (unique by key) from its k nearest within radius, fitted once for each place."""
+    own, best = near.ranked(points, points, coords, k, radius, ties)
+    return own.select(*key, "__l").join(normals(best, ["__l"], coords), "__l").drop("__l")
+
+
 def line_fit(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
