@@ -208,6 +208,18 @@ def _with_place(own: DataFrame, placed: DataFrame, cs: Sequence[str]) -> DataFra
     return own.join(placed.where("side = 0").select(F.col("id").alias("__l"), *cs), cs, "left").drop(*cs)
 
 
+def kth_distance(left: DataFrame, right: DataFrame, coords: Sequence[str], k: int, radius: float) -> DataFrame:
+    """Rows of left that have a place, with the distance of their k-th nearest row of right as `kth`, null if that is not
+    within radius. Only distances and counts are moved, no rows of right."""
+    cs, own, other, finite = _sides(left, right, coords, "_r")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = other.where(finite).groupBy(*cs).agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("n"))
+    placed = _placed(own.where(finite).select(*cs).distinct(), there, cs, k, radius, tasks)
+    far = _pairs(placed, cs, k, tasks, placed.where("side = 1").select("block", "id", *cs, "n", F.col("n").cast("int").alias("times")))
+    reached = far.withColumn("times", F.sum("times").over(Window.partitionBy("__l").orderBy("distance")))
+    return _with_place(own.where(finite), placed, cs).join(reached.where(F.col("times") >= k).groupBy("__l").agg(F.min("distance").alias("kth")), "__l", "left").drop("__l")
+
+
 def ranked(left: DataFrame, right: DataFrame, coords: Sequence[str], k: int, radius: float, ties: Sequence[str], suffix: str = "_r") -> tuple[DataFrame, DataFrame]:
     """left with the id `__l` of each row's place (null without one), and the rows of right (with the suffix) that are the
     k nearest of each place within radius: __l, right's columns, distance, rank from 1. Equally near ones are ordered by
