@@ -12,7 +12,7 @@ from pointlake.llm import compact_windows, quality_rules, simhash_pivot, slack_p
 from pointlake.llm.common import materialise
 
 #: Pieces of text that a packing worker keeps encoded, to the end of its task: few, as workers of all stages stay in memory.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,6 +200,7 @@ class _Packer:
             yield from self._row(int(doc[0]), 2, np.stack([doc, text_key, n, ids[at]]))
         if self.held:
             key, of, place = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+            self.windows.clear()
             doc = ids[of]
             order = np.lexsort((place, doc, key))
             key, doc, place = key[order], doc[order], place[order]
@@ -738,7 +739,8 @@ def outermost(found: DataFrame) -> DataFrame:
             out.append(keep)
         return pa.array(out, pa.list_(pa.int32()))
 
-    kept = lists.withColumn("i", outer("s")).select("doc_id", "text_key", F.explode("i").alias("i"), "s").select("doc_id", "text_key", F.element_at("s", F.col("i") + 1).alias("s"))
+    # Nondeterministic: else Spark puts a filter with a second call before explode, which takes a second worker.
+    kept = lists.withColumn("i", outer.asNondeterministic()("s")).select("doc_id", "text_key", F.explode("i").alias("i"), "s").select("doc_id", "text_key", F.element_at("s", F.col("i") + 1).alias("s"))
     return kept.select("doc_id", "text_key", "s.*").select(*names)
 
 
@@ -766,7 +768,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(data[keep].tobytes().decode())
         return pa.array(out, pa.string())
 
-    joined = some.join(lists, ["id", "key"], "left")
+    # Merged at every size: a task that broadcast lists reach would need Python for `perhaps` and for `cut`, so two workers.
+    joined = some.join(lists.hint("merge"), ["id", "key"], "left")
     changed = joined.where("spans is not null").select("row", cut(text.cast("string"), F.col("spans")).alias("cut"))
     new = F.col("row").withField(f"`{text_col}`", F.col("cut"))
     if count_col in docs.columns:

@@ -43,3 +43,24 @@ def test_kept_documents_are_the_good_ones(spark):
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *[f"op{k}" for k in range(1, 11)]}
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def _python_steps(node, above=0):
+    """The most Python steps that one task of a plan runs at a time: those between exchanges."""
+    name, children = node.nodeName(), node.children()
+    if name == "AdaptiveSparkPlan":
+        return _python_steps(node.initialPlan(), above)
+    now = 0 if "Exchange" in name else above + (name in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "FlatMapGroupsInArrow"))
+    return max([now, *(_python_steps(children.apply(k), now) for k in range(children.size()))])
+
+
+def test_no_task_needs_two_python_workers(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    frame, written = type(docs), []
+    write = frame.write
+    monkeypatch.setattr(frame, "write", property(lambda self: written.append(self) or write.fget(self)))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    steps = [_python_steps(df._jdf.queryExecution().executedPlan()) for df in written]
+    assert len(steps) > len(corpus_pipeline.STAGES) and max(steps) == 1
