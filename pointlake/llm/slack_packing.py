@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import batches, column, rows_of, texts, tidy, tune
+from pointlake.llm.common import batches, column, rows_of, tidy, tune
 from pointlake.llm.token_cache import REMEMBERED, forget, library_encoder
 
 CAPACITY = 2048
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = CAPACITY,
         end = np.array([end_id], kind).tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, window)
         for b in rows_of(it):
-            for doc, ids in zip(column(b, "doc_id").to_pylist(), encoder.encode(texts(b)), strict=True):
+            for doc, ids in zip(column(b, "doc_id").to_pylist(), encoder.encode_column(column(b, "text")), strict=True):
                 packer.add(doc, np.frombuffer(ids + end, kind))
             yield packer.taken()
         packer.end()
