@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm.bytetext import mix
-from pointlake.llm.common import batches, column, range_number, rows_of, shared_dir, texts, tune
+from pointlake.llm.common import batches, column, range_number, rows_of, shared_dir, tune
 from pointlake.llm.mphf import MinimalPerfectHash
 from pointlake.llm.token_cache import library_encoder
 
@@ -53,7 +53,7 @@ def encode_documents(docs: DataFrame, file: str, end_id: int, id_col: str = "doc
         encoder, kind = library_encoder(file)
         end = np.array([end_id], kind).tobytes()
         for b in rows_of(it):
-            yield batches({"doc_id": column(b, "doc_id"), "ids": [x + end for x in encoder.encode(texts(b))]}, schema)
+            yield batches({"doc_id": column(b, "doc_id"), "ids": [x + end for x in encoder.encode_column(column(b, "text"))]}, schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
